@@ -1,0 +1 @@
+"""Streaming operators of the inventory engine."""
