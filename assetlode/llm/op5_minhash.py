@@ -8,20 +8,24 @@ sets form a class, which its least id stands for; only these nodes go on.
    probability (1 - s**ROWS)**BANDS: 2e-5 at 0.75, and less above.
 2. Each member of a bucket is paired with the bucket's least node only, so a
    bucket of n members makes n - 1 pairs.
-3. Pairs are verified: first on one byte of each minimum, kept unless the
-   estimate falls below ESTIMATE (4.9 standard errors under the threshold), then
-   on the full sets.
-4. Verified pairs are joined to components.
-5. Buckets whose members now lie in several components are gone through pair by
-   pair: members outside the component of the bucket's least node against all
-   members, in blocks of BLOCK by BLOCK, on the bytes of the minima; what passes is
-   verified on full sets too, and the components are joined again. No pair that
-   shares a bucket is left out, and members that are joined already cost nothing.
+3. The signatures of a pair are held against each other, on one byte of each
+   minimum; a pair passes unless the estimate falls below ESTIMATE (4.9 standard
+   errors under the threshold). Pairs that pass join their nodes to clusters.
+4. A cluster is gone through pair by pair on the full sets, in tasks of a block of
+   BLOCK nodes against another one. A task skips what it has joined already and
+   gives only the links that join something, so rows don't grow with the pairs.
+5. Buckets whose members lie in several clusters are gone through too: members
+   outside the cluster of the bucket's least node against all members, on the
+   signatures, in blocks; what passes is verified on full sets.
+6. The links are joined to components. No pair that shares a bucket is left out.
 
 A bucket or class of any size is dealt out by node, by pair or by block, and
 minima are taken before rows are shuffled. The tables between the steps are in
 the shared folder.
 
+Joins of large tables are sort-merge joins at every size, as a broadcast that only
+small inputs get would hide what large ones shuffle.
+
 Defined results: a null or empty text, or one of white space only, has an empty
 set and is linked with nothing. Rows that share an id count as one node and are
 linked. Rows with a null id get a null component and aren't kept. An empty table
@@ -45,7 +49,7 @@ from assetlode.workspace import Workspace
 WORDS, PERCENT = 5, 75
 ROWS, BANDS = 5, 40
 ESTIMATE = 0.60
-BLOCK = 1024
+BLOCK, BUCKET_BLOCK = 256, 1024
 _SEED = 20_240_229
 #: Shingles that meet all hash functions at once; bounds the memory of a long text.
 _AT_ONCE = 4096
@@ -119,7 +123,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         ids, texts = column_bytes(batch)
         return pa.RecordBatch.from_arrays([ids, pa.array([shingles(t).tobytes() for t in texts], pa.binary())], ["node", "found"])
 
-    return map_batches(texts_of(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), each, "node long, found binary").groupBy("node").agg(F.min("found").alias("found"))
+    wanted = nodes.select(F.col("node").alias("doc_id")).hint("merge")
+    return map_batches(texts_of(docs).join(wanted, "doc_id", "left_semi"), each, "node long, found binary").groupBy("node").agg(F.min("found").alias("found"))
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,7 +140,7 @@ def _near_size(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that sizes and sketches let pass."""
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    joined = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").select("a", "b", "na", "nb", "sa", "sb")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         near = _near_size(batch.column(2).to_numpy(), batch.column(3).to_numpy())
@@ -149,38 +154,91 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
-    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b").join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a").select("a", "b", "fa", "fb")
+    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")).hint("merge"), "b").join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")).hint("merge"), "a").select("a", "b", "fa", "fb")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for fa, fb in zip(batch.column(2), batch.column(3), strict=True):
             x, y = np.frombuffer(fa.as_buffer(), np.uint64), np.frombuffer(fb.as_buffer(), np.uint64)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
+            keep.append(_linked(x, y))
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return map_batches(joined, each, "a long, b long")
 
 
-def _verify(ws: Workspace, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    passed = ws.save(likely(pairs, nodes), f"{name}-likely")
-    sets = ws.save(full_sets(docs, passed.select(F.col("a").alias("node")).union(passed.select("b")).distinct()), f"{name}-sets")
-    links = ws.save(confirmed(passed, sets), f"{name}-links")
-    ws.drop(f"{name}-sets", f"{name}-likely")
-    return links
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block of outsiders and a block of members; rows come sorted by block."""
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Runs of equal leading columns, from rows that come sorted by them."""
     held: list[pa.RecordBatch] = []
     at = None
+    for batch in batches:
+        keys = np.column_stack([batch.column(i).to_numpy() for i in range(n_keys)])
+        if not len(keys):
+            continue
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(edges, edges[1:]):
+            key = tuple(keys[lo])
+            if key != at and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _links(nodes: np.ndarray, own: np.ndarray, n: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the nodes of two blocks, or of one, to components."""
+    root = np.arange(len(nodes))
+    cross = own.min() != own.max()
+    found = []
+    for x in range(len(nodes)):
+        other = np.arange(x + 1, len(nodes))
+        if cross:
+            other = other[own[other] != own[x]]
+        other = other[_near_size(n[other], n[x]) & (root[other] != root[x])]
+        if not len(other):
+            continue
+        for y in other[estimate(sketch[other], sketch[x]) >= ESTIMATE].tolist():
+            if root[x] != root[y] and _linked(sets[x], sets[y]):
+                found.append((int(nodes[x]), int(nodes[y])))
+                root[root == root[y]] = root[x]
+    return found
+
+
+def _cluster_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a: list[int] = []
+    b: list[int] = []
+    for table in _groups(batches, 3):
+        nodes, own, n = (table.column(c).to_numpy() for c in ("node", "own", "n_shingles"))
+        if len(nodes) < 2:
+            continue
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(nodes), -1)
+        for x, y in _links(nodes, own, n, sketch, [np.frombuffer(f, np.uint64) for f in table.column("found").to_pylist()]):
+            a.append(x)
+            b.append(y)
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def cluster_links(clusters: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified links within clusters (node, component); each node goes to as many tasks as its cluster has blocks."""
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = clusters.join(sizes, "component").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.join(nodes.hint("merge"), "node").join(sets.hint("merge"), "node").select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n_shingles", "sketch", "found")
+    return map_stream(rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j"), _cluster_links, "a long, b long")
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        role, node, component, n = (table.column(c).to_numpy() for c in ("role", "node", "component", "n_shingles"))
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block of outsiders and a block of members; rows come sorted by block."""
+    for table in _groups(batches, 3):
+        role, node, component, n, outside = (table.column(c).to_numpy() for c in ("role", "node", "component", "n_shingles", "outside"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
         out, all_ = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        outside = table.column("outside").to_numpy()
         a, b = [], []
         for o in out:
             # two outsiders meet twice: they count where the smaller one is the outsider
@@ -192,24 +250,9 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    for batch in batches:
-        keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
-        if not len(keys):
-            continue
-        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-        for lo, hi in zip(edges, edges[1:]):
-            key = tuple(keys[lo])
-            if key != at and held:
-                yield from flush()
-                held = []
-            at = key
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield from flush()
-
 
 def _rest_pairs(members: DataFrame, nodes: DataFrame, joined: DataFrame) -> DataFrame:
-    """Likely pairs across components within buckets; members has key, node, centre."""
+    """Likely pairs across clusters within buckets; members has key, node, centre."""
     of = joined.select("node", "component")
     here = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     centres = of.select(F.col("node").alias("centre"), F.col("component").alias("main"))
@@ -218,7 +261,7 @@ def _rest_pairs(members: DataFrame, nodes: DataFrame, joined: DataFrame) -> Data
     here = here.withColumn("outside", outside)
     mixed = here.groupBy("key").agg(F.count("*").alias("n_all"), F.sum("outside").alias("n_out")).where("n_out > 0")
     rows = here.join(mixed, "key").join(nodes.select("node", "n_shingles", "sketch"), "node")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    blocks = lambda n: F.ceil(F.col(n) / BUCKET_BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     cols = ("outside", "node", "component", "n_shingles", "sketch")
@@ -228,6 +271,15 @@ def _rest_pairs(members: DataFrame, nodes: DataFrame, joined: DataFrame) -> Data
     return map_stream(dealt, _block_pairs, "a long, b long").distinct()
 
 
+def _same_id(rows: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share an id and differ in text."""
+    known = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    twice = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    some = known.join(twice.hint("merge"), "doc_id", "left_semi").select("digest", F.col("doc_id").alias("b"))
+    least = known.groupBy("digest").agg(F.min("doc_id").alias("a"))
+    return some.join(least, "digest").where("a <> b").select("a", "b")
+
+
 def duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     ws = Workspace(docs.sparkSession, "minhash")
@@ -237,19 +289,17 @@ def duplicates(docs: DataFrame) -> DataFrame:
     classes = ws.save(classes, "classes")
     keys = classes.select(F.explode("bands").alias("key"), "node")
     shared = keys.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").drop("last")
-    members = ws.save(keys.join(shared, "key"), "members")
+    members = ws.save(keys.join(shared.hint("merge"), "key"), "members")
     nodes = ws.save(classes.select("node", "n_shingles", "sketch").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
-    first = _verify(ws, docs, nodes, members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    # an id with two texts stands for both
-    repeated = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("a")).join(rows.where("n_shingles > 0").select("digest", F.col("doc_id").alias("b")), "digest").where("a <> b").select("a", "b")
-    twice = rows.where("n_shingles > 0").groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select(F.col("doc_id").alias("b"))
-    first = first.union(repeated.join(twice, "b", "left_semi").select("a", "b"))
-    joined = ws.save(components(ws, first, "stars"), "joined")
-    second = _verify(ws, docs, nodes, ws.save(_rest_pairs(members, nodes, joined), "rest"), "rest")
-    links = joined.select(F.col("component").alias("a"), F.col("node").alias("b")).union(second)
-    final = ws.save(components(ws, links, "all"), "final")
+    star = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    clusters = ws.save(components(ws, likely(star, nodes), "clusters"), "clustered")
+    across = ws.save(_rest_pairs(members, nodes, clusters), "across")
+    sets = ws.save(full_sets(docs, clusters.select("node").union(across.select("a")).union(across.select("b")).distinct()), "sets")
+    links = cluster_links(clusters, nodes, sets).union(confirmed(across, sets)).union(_same_id(rows))
+    final = ws.save(components(ws, links, "linked"), "final")
+    ws.drop("sets", "members")
     labels = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    linked = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(labels, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    linked = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(labels.hint("merge"), "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
