@@ -116,7 +116,7 @@ class Merges:
                 else:
                     places[rank] = later
                     heappush(heap, rank)
-        out, ends = [], [*starts[1:], len(ids)]
+        out, ends = [], [*starts, len(ids)][1:]
         for w, (at, end) in enumerate(zip(starts, ends, strict=True)):
             out.append((whole[w],) if w in whole else tuple([t for t in ids[at:end] if t >= 0]))
         return out
@@ -150,10 +150,12 @@ class Codec:
         units: set[str] = set()
         for text in texts:
             units.update(text.split(" "))
-        new = {w for u in units if u not in self._units and u not in self._units.old for w in words_of(u)}
-        words = [w for w in new if w not in self._words and w not in self._words.old]
+        cut_up = {u: words_of(u) for u in units if u not in self._units and u not in self._units.old and not open_ended(u)}
+        words = [w for w in {w for ws in cut_up.values() for w in ws} if w not in self._words and w not in self._words.old]
         for word, ids in zip(words, self._merges.replay([w.encode() for w in words]), strict=True):
             self._words[word] = ids
+        for unit, ws in cut_up.items():
+            self._units.keep(unit, self._words[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(self._words.__getitem__, ws))))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         self._learn(texts)

@@ -28,11 +28,14 @@ class TwoAges(dict):
         found = self.old.get(key, self)
         if found is self:
             found = self.fill(key)
+        self.keep(key, found)
+        return found
+
+    def keep(self, key: Any, value: Any) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        self[key] = found
-        return found
+        self[key] = value
 
 
 def open_ended(piece: str) -> bool:
