@@ -114,7 +114,7 @@ def base_spans(text: str) -> list[Span]:
         spans += [Span(s, e, "email", 1.0) for s, e in _emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split(".")):
                 spans.append(Span(m.start(), m.end(), "ip", 1.0))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
