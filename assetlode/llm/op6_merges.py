@@ -99,14 +99,21 @@ class Merges:
                     continue  # a merge before this one took a part of the pair
                 k = nxt[j]
                 ids[i], ids[j], nxt[i] = rank, -1, k
+                if (a := prev[i]) >= 0 and (r := pairs[ids[a] << 32 | rank]) >= 0:
+                    if r in places:
+                        places[r].append(a)
+                    else:
+                        places[r] = [a]
+                        heappush(heap, r)
+                    if r < rank:
+                        put_off = w
                 if k >= 0:
                     prev[k] = i
-                for a, b in ((prev[i], i), (i, k)):
-                    if a >= 0 and b >= 0 and (r := pairs[ids[a] << 32 | ids[b]]) >= 0:
+                    if (r := pairs[rank << 32 | ids[k]]) >= 0:
                         if r in places:
-                            places[r].append(a)
+                            places[r].append(i)
                         else:
-                            places[r] = [a]
+                            places[r] = [i]
                             heappush(heap, r)
                         if r < rank:
                             put_off = w
@@ -130,6 +137,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self._merges = Merges(ranks)
         self.tokens = self._merges.tokens
+        self.names = list(map(str, range(len(self.tokens))))
         self._words = TwoAges(lambda word: self._merges.replay([word.encode()])[0], WORDS)
         self._units = TwoAges(self._unit, UNITS)
 
@@ -200,7 +208,7 @@ def digest(docs: DataFrame, ranks: str) -> DataFrame:
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, texts = columns(batch)
         codec = Codec.shared(ranks)
-        names = list(map(str, range(len(codec.tokens))))
+        names = codec.names
         n, shas, back = [], [], []
         for tokens in codec.encode(texts):
             n.append(len(tokens))
