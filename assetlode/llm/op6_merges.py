@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from assetlode.llm.batches import columns, documents, map_batches, texts_of
 from assetlode.llm.units import PATTERN, TwoAges, cut, open_ended, words_of
 
-UNITS, WORDS = 300_000, 400_000
+UNITS, WORDS = 600_000, 800_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
