@@ -333,3 +333,11 @@ def test_pipeline_stages(spark):
 def test_ranks_file_is_read():
     ranks = op6_merges.read_ranks(RANKS)
     assert len(ranks) == 50_256 and ranks[base64.b64decode("IQ==")] == 0
+
+
+def test_pii_address_with_a_very_long_run_of_zeros():
+    from assetlode.llm.op1_pii import base_spans
+
+    text = "0" * 5000 + "1.2.3.4"
+    assert [(s.start, s.end) for s in base_spans(text) if s.kind == "ip"] == [(0, len(text))]
+    assert not [s for s in base_spans("0" * 5000 + "256.2.3.4") if s.kind == "ip"]
