@@ -156,4 +156,4 @@ def capped_graphemes(spark, d):
 
 @query()
 def escaped_evidence(spark, d):
-    return a.table(spark, d, "documents").select("doc_id", python_text.evidence(F.substring("text", 1, 200)).alias("shown"))
+    return a.table(spark, d, "documents").select("doc_id", python_text.evidence(C("text")).alias("shown"))
