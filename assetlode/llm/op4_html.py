@@ -2,13 +2,14 @@
 
 Markup is stripped into lines, one for each block element. Elements that by
 their name, role, class or id hold menus, headers, footers, sidebars, notices,
-adverts, forms or comments leave a gap of WINDOW empty lines. Where a page marks
-its article, lines outside it are empty too. The text length of a line, without
-its links, is summed over a sliding window of WINDOW lines; a surge point is a
-window whose sum passes SURGE (any text will do inside a marked article), and
-the text runs on to the dive point, the next window without any text. Lines
-between the two are kept whole, short ones too; regions are kept if they have at
-least SHARE of the text of the largest.
+adverts, forms or comments leave a gap of WINDOW empty lines. The text length of a
+line, without its links, is summed over a sliding window of WINDOW lines; a surge
+point is a window whose sum passes SURGE (or is the page's largest), and the text
+runs on to the dive point, the next window without any text. Lines between the two
+are kept whole, short ones too; regions are kept if they have at least SHARE of the
+text of the largest. An article or main element is a hint only: its edges part
+regions, and gaps and links in it don't, but what it holds and what stands outside
+pass the same tests.
 
 Defined results: null or empty html, and pages without text, give an empty text;
 repeated rows are handled row by row; null ids and urls stay null; an empty table
@@ -162,47 +163,57 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def _weights(found: list[Line]) -> tuple[list[int], bool]:
-    """Text lengths; outside the article, if the page marks one with text, they are 0."""
-    sizes: dict[int, int] = {}
+def _joined(found: list[Line]) -> list[Line]:
+    """Without the gaps that lie inside one marked article."""
+    out: list[Line] = []
+    gap: list[Line] = []
+    last = 0
+    for line in found:
+        if not line.text:
+            gap.append(line)
+            continue
+        if not (last and line.article == last):
+            out += gap
+        gap = []
+        out.append(line)
+        last = line.article
+    return out
+
+
+def _segments(found: list[Line]) -> list[list[Line]]:
+    """The lines, parted where a marked article begins or ends."""
+    out: list[list[Line]] = [[]]
+    inside = None
     for line in found:
-        if line.article:
-            sizes[line.article] = sizes.get(line.article, 0) + line.length
-    articles = {k: n for k, n in sizes.items() if k > 0} or sizes
-    most = max(articles.values(), default=0)
-    if not most:
-        return [line.length for line in found], False
-    inside = {k for k, n in articles.items() if n >= SHARE * most}
-    return [len(line.text) if line.article in inside else 0 for line in found], True
+        if line.text:
+            if inside not in (None, bool(line.article)):
+                out.append([])
+            inside = bool(line.article)
+        out[-1].append(line)
+    return out
 
 
 def blocks(page: str | None) -> list[str]:
     """The blocks of the main text in page order."""
-    found = lines(page or "")
-    weights, marked = _weights(found)
-    if not any(weights):
-        return []
-    sums, run = [], sum(weights[: WINDOW - 1])
-    for i in range(len(weights)):
-        run += weights[i + WINDOW - 1] if i + WINDOW - 1 < len(weights) else 0
-        sums.append(run)
-        run -= weights[i]
-    surge = 0 if marked else min(SURGE, max(sums) - 1)
-    regions: list[tuple[int, int]] = []
-    i, n = 0, len(sums)
-    while i < n:
-        if sums[i] <= surge or not weights[i]:
-            i += 1
-            continue
-        start = i
-        while start and weights[start - 1]:  # the lead-in of the surge
-            start -= 1
-        while i < n and sums[i]:
-            i += 1
-        regions.append((start, i))
-    totals = [sum(weights[a:b]) for a, b in regions]
-    least = 0 if marked else SHARE * max(totals, default=0)
-    return [line.text for (a, b), t in zip(regions, totals, strict=True) if t >= least for line, w in zip(found[a:b], weights[a:b], strict=True) if line.text and (w or not marked)]
+    segments = _segments(_joined(lines(page or "")))
+    weights = [[len(line.text) if line.article else line.length for line in s] for s in segments]
+    sums = [[sum(w[i : i + WINDOW]) for i in range(len(w))] for w in weights]
+    surge = min(SURGE, max((x for s in sums for x in s), default=0) - 1)
+    regions: list[tuple[int, list[Line]]] = []
+    for segment, w, s in zip(segments, weights, sums, strict=True):
+        i, n = 0, len(s)
+        while i < n:
+            if s[i] <= surge or not w[i]:
+                i += 1
+                continue
+            start = i
+            while start and w[start - 1]:  # the lead-in of the surge
+                start -= 1
+            while i < n and s[i]:
+                i += 1
+            regions.append((sum(w[start:i]), segment[start:i]))
+    least = SHARE * max((t for t, _ in regions), default=0)
+    return [line.text for t, region in regions if t >= least for line in region if line.text]
 
 
 def extract(page: str | None) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from assetlode.llm import op4_html
 from assetlode.plans import registry
 
 
@@ -10,3 +11,17 @@ def test_escaped_evidence_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.shown for r in registry.queries()["escaped_evidence"](spark, str(tmp_path)).collect()}
     assert got == {1: "a" * 250 + "\\n\\x07", 2: "", 3: None}
+
+
+BODY = "long text " * 30
+
+
+def test_html_article_is_a_hint():
+    body = BODY.strip()
+    # text outside the mark that passes the same tests is kept, a short article beside it is not
+    assert op4_html.blocks(f"<article><p>{body}</p></article><div><p>{body}</p></div>") == [body, body]
+    assert op4_html.blocks(f"<article><p>Short teaser.</p></article><div><p>{body}</p></div>") == [body]
+    assert op4_html.blocks(f"<main><div><p>{body}</p></div><article><p>Teaser</p></article></main>") == [body, "Teaser"]
+    # the tags change nothing on a page whose regions dropped elements part
+    page = f"<nav><a>x</a></nav><article><h1>T</h1><p>{body}</p><p>end</p></article><footer>f</footer>"
+    assert op4_html.blocks(page) == op4_html.blocks(page.replace("article", "div")) == ["T", body, "end"]
