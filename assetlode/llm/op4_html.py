@@ -2,7 +2,9 @@
 
 Markup is stripped into lines, one for each block element. Elements that by
 their name, role, class or id hold menus, headers, footers, sidebars, notices,
-adverts, forms or comments leave a gap of WINDOW empty lines. The text length of a
+adverts, forms or comments leave a gap of WINDOW empty lines, unless the lines beside it
+are siblings of the dropped element. An element with such a word in its class, id or
+role stays if it holds most of the page's text without links. The text length of a
 line, without its links, is summed over a sliding window of WINDOW lines; a surge
 point is a window whose sum passes SURGE (or is the page's largest), and the text
 runs on to the dive point, the next window without any text. Lines between the two
@@ -51,13 +53,32 @@ TITLE_MARKS = frozenset({"header", "byline"})
 CONTENT_MARKS = frozenset({"article", "content", "entry", "main", "post", "story"})
 
 
+#: Words of MARKS that mark readers' words, which may be longer than the article.
+READERS_MARKS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
+
+#: Words of MARKS that mark paid text; it stays only where nothing else does.
+PAID_MARKS = frozenset("ad ads advert adverts advertisement advertising adsense promo promotion sponsor sponsored".split())
+
+
 class Line(NamedTuple):
     text: str
     length: int
     article: int
+    #: The block it lies in and the block around that; of a gap, the block that the dropped element lies in.
+    block: int = 0
+    around: int = 0
+
+
+class Held(NamedTuple):
+    """An element dropped for a word: where its tag ends, its words, the text in it without links."""
 
+    at: int
+    words: frozenset[str]
+    length: list[int]
 
-def _dropped(name: str, attributes: str, in_article: bool) -> bool:
+
+def _dropped(name: str, attributes: str, in_article: bool) -> bool | frozenset[str]:
+    """Whether an element is dropped, or the words that it is dropped for."""
     if name in DROPPED and not (name == "header" and in_article):
         return True
     if not attributes or name in ("body", "html"):
@@ -72,25 +93,51 @@ def _dropped(name: str, attributes: str, in_article: bool) -> bool:
     marked = words & MARKS
     if in_article or name in ("article", "main"):
         marked -= TITLE_MARKS
-    return bool(marked) and not (name in ("article", "main") and words & CONTENT_MARKS and not marked & {"comment", "comments", "reply"})
+    return False if name in ("article", "main") and words & CONTENT_MARKS and not marked & {"comment", "comments", "reply"} else frozenset(marked)
 
 
 def lines(page: str) -> list[Line]:
-    """The page's blocks in order, and the gaps that dropped elements leave."""
+    """The page's blocks in order, and the gaps that dropped elements leave.
+
+    An element that is dropped for its words stays if it holds most of the page's text
+    without links, and more than SURGE; one of READERS_MARKS does so only if no window of
+    the rest passes SURGE, one of PAID_MARKS only if the rest has no text.
+    """
+    kept: set[int] = set()
+    while True:
+        found, held = _lines(page, kept)
+        rest = [line.length for line in found]
+        total = sum(rest) + sum(h.length[0] for h in held)
+        most = max(held, key=lambda h: h.length[0], default=None)
+        if most is None or most.length[0] <= max(SURGE, total / 2) or any(sum(rest[i : i + WINDOW]) > (0 if most.words & PAID_MARKS else SURGE) for i in range(len(rest)) if most.words & (READERS_MARKS | PAID_MARKS)):
+            return found
+        kept.add(most.at)
+
+
+def _lines(page: str, kept: set[int]) -> tuple[list[Line], list[Held]]:
+    """The lines, and the outermost elements that are dropped for their words; those of kept aren't."""
     out: list[Line] = []
-    gap = [Line("", 0, 0)] * WINDOW
+    held: list[Held] = []
     parts: list[str] = []
     links = linked = 0
-    stack: list[tuple[str, str]] = []  # element and what it is: "", "article", "main" or "dropped"
-    kinds = {"dropped": 0, "article": 0, "main": 0}
+    stack: list[tuple[str, str, int]] = []  # element, what it is ("", "article", "main", "worded" or "dropped") and where it begins
+    kinds = {"dropped": 0, "worded": 0, "article": 0, "main": 0}
     number = 0
 
+    def block_of() -> tuple[int, int]:
+        found = [at for name, _, at in stack if name in BLOCK][-2:]
+        return (found[-1] if found else 0), (found[0] if len(found) > 1 else 0)
+
+    def gap() -> list[Line]:
+        """What a dropped element leaves; p and li end before it."""
+        return [Line("", 0, 0, next((at for name, _, at in reversed(stack) if name in BLOCK and name not in ("p", "li")), 0))] * WINDOW
+
     def end_line() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Line(text, max(0, len(text) - linked), number if kinds["article"] else -number if kinds["main"] else 0))
+                out.append(Line(text, max(0, len(text) - linked), number if kinds["article"] else -number if kinds["main"] else 0, *block_of()))
             parts.clear()
         linked = 0
 
@@ -98,6 +145,9 @@ def lines(page: str) -> list[Line]:
         nonlocal linked
         if text and not kinds["dropped"]:
             text = entities.unescape(text) if "&" in text else text
+            if kinds["worded"]:
+                held[-1].length[0] += 0 if links else len(" ".join(text.split()))
+                return
             parts.append(text)
             if links:
                 linked += len(text)
@@ -107,8 +157,8 @@ def lines(page: str) -> list[Line]:
             kind = stack.pop()[1]
             if kind:
                 kinds[kind] -= 1
-                if kind == "dropped" and not kinds["dropped"]:
-                    out.extend(gap)
+                if kind in ("dropped", "worded") and not kinds["dropped"] and not kinds["worded"]:
+                    out.extend(gap())
 
     at = 0
     while m := _TAG.search(page, at):
@@ -148,35 +198,37 @@ def lines(page: str) -> list[Line]:
                 leave(same)
         kind = ""
         if not kinds["dropped"]:
-            if _dropped(name, attributes, bool(kinds["article"])):
-                kind = "dropped"
+            why = _dropped(name, attributes, bool(kinds["article"]))
+            if why is True or why and at not in kept and not kinds["worded"]:
+                kind = "dropped" if why is True else "worded"
                 end_line()
-                out.extend(gap)
+                if not kinds["worded"]:
+                    out.extend(gap())
+                if why is not True:
+                    held.append(Held(at, why, [0]))
             elif name in ("article", "main"):
                 kind = name
                 number += not kinds["article"]
-        stack.append((name, kind))
+        stack.append((name, kind, at))
         if kind:
             kinds[kind] += 1
     say(page[at:])
     end_line()
-    return out
+    return out, held
 
 
 def _joined(found: list[Line]) -> list[Line]:
-    """Without the gaps that lie inside one marked article."""
+    """Without the gaps between two lines of one marked article, or of the block that the dropped element lies in."""
     out: list[Line] = []
     gap: list[Line] = []
-    last = 0
     for line in found:
         if not line.text:
             gap.append(line)
             continue
-        if not (last and line.article == last):
+        if gap and out and not (line.article and line.article == out[-1].article or all(g.block in (x.block, x.around) for g in gap for x in (line, out[-1]))):
             out += gap
         gap = []
         out.append(line)
-        last = line.article
     return out
 
 

@@ -25,3 +25,15 @@ def test_html_article_is_a_hint():
     # the tags change nothing on a page whose regions dropped elements part
     page = f"<nav><a>x</a></nav><article><h1>T</h1><p>{body}</p><p>end</p></article><footer>f</footer>"
     assert op4_html.blocks(page) == op4_html.blocks(page.replace("article", "div")) == ["T", body, "end"]
+
+
+def test_html_keeps_article_text():
+    body = BODY.strip()
+    # what follows an advert inside the article stays, however short
+    page = f"<body><nav>n</nav><div id=wrap><p>{body}</p><aside>advert</aside><p>The end.</p></div></body>"
+    assert op4_html.blocks(page) == [body, "The end."]
+    # one class word doesn't drop the element that holds the page's text
+    assert op4_html.blocks(f"<div>Intro.</div><div class='widget share'><p>{body}</p><div class=ad>Buy</div></div>") == ["Intro.", body]
+    # but long comments don't replace an article, and an advert isn't one
+    assert op4_html.blocks(f"<div><p>{body}</p></div><div class=comments><p>{BODY * 4}</p></div>") == [body]
+    assert op4_html.blocks("<div class=ad>Buy this now, it is cheap.</div><div><p>Short one.</p></div>") == ["Short one."]
