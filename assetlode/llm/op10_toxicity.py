@@ -2,7 +2,7 @@
 
 Terms are the words of a text and the beginnings of its longer words. From a
 bounded sample of labelled rows (SAMPLE, by a hash of the id) the terms that go
-with label 1 are chosen by the chi-squared statistic; a text is the vector
+with label 1 or with label 0 are chosen by the chi-squared statistic; a text is the vector
 of its chosen terms, weighted by log frequency and the inverse document
 frequency over all documents. Sampled rows become the examples. Equal vectors are
 one example with a count of each label.
@@ -48,9 +48,8 @@ from assetlode.workspace import Workspace
 
 #: Bound of the labelled rows that the classifier is fitted on, and of its terms.
 SAMPLE, TERMS = 20_000, 8_192
-#: A term stands in so many sampled rows at least, its chi-squared statistic reaches so much, and label 1 is so many
-#: times as frequent with it as overall.
-LEAST_ROWS, LEAST_CHI2, LEAST_LIFT = 3, 12.0, 3.0
+#: A term stands in so many sampled rows at least, and its chi-squared statistic reaches so much, for either label.
+LEAST_ROWS, LEAST_CHI2 = 3, 12.0
 K, BLOCK, SHARPNESS, PRIOR, THRESHOLD = 16, 64, 2.0, 0.05, 0.7
 #: Terms from the beginning of a word: their lengths.
 PREFIXES = (4, 5, 6)
@@ -99,7 +98,7 @@ def choose_terms(rows: DataFrame) -> list[str]:
     a, n, all_, pos = (F.col(c).cast("double") for c in ("a", "n", "all", "pos"))
     off = a * all_ - n * pos
     chi2 = all_ * off * off / (n * (all_ - n) * pos * (all_ - pos))
-    best = counts.where("term <> ''").join(F.broadcast(total)).withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (a / n >= LEAST_LIFT * pos / all_))  # total is one row
+    best = counts.where("term <> ''").join(F.broadcast(total)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)  # total is one row
     return sorted(r.term for r in best.orderBy(F.desc("chi2"), "term").select("term").limit(TERMS).collect())
 
 
@@ -160,6 +159,7 @@ def document_frequencies(vectors: DataFrame, n_terms: int) -> tuple[int, np.ndar
 
 
 class Evidence(NamedTuple):
+    #: The least doc_id of the rows that make the example, or its number in an index without ids.
     example: int
     similarity: float
     n: int
@@ -169,23 +169,27 @@ class Evidence(NamedTuple):
 class Index:
     """Examples by term, with the largest weight of each term in each block of examples."""
 
-    def __init__(self, idf: np.ndarray, examples: list[tuple[tuple[int, ...], tuple[int, ...], int, int]]) -> None:
-        """examples: terms, frequencies, rows and rows with label 1."""
+    def __init__(self, idf: np.ndarray, examples: list[tuple[tuple[int, ...], tuple[int, ...], int, int] | tuple[tuple[int, ...], tuple[int, ...], int, int, int]]) -> None:
+        """examples: terms, frequencies, rows, rows with label 1 and, if known, the least doc_id."""
         self.idf = idf
         empty = [e for e in examples if not e[0]]
         n0, pos0 = sum(e[2] for e in empty), sum(e[3] for e in empty)
         self.prior = (pos0 + PRIOR) / (n0 + 1)
         merged: dict[tuple, list[int]] = {}
-        for t, c, n, pos in examples:
+        least: dict[tuple, int] = {}
+        for t, c, n, pos, *first in examples:
             if t:
                 held = merged.setdefault((t, c), [0, 0])
                 held[0] += n
                 held[1] += pos
+                if first:
+                    least[t, c] = min(first[0], least.get((t, c), first[0]))
         weighed = [(t, self.weights(np.array(t), np.array(c)), *held, c) for (t, c), held in merged.items()]
         # neighbours in the order share their heaviest terms
         weighed.sort(key=lambda e: ([e[0][i] for i in np.argsort(-e[1], kind="stable")[:4]], e[0], e[1].tolist()))
         self.n = np.array([e[2] for e in weighed], np.float64)
         self.n_toxic = np.array([e[3] for e in weighed], np.float64)
+        self.ids = [least.get((t, c), x) for x, (t, _, _, _, c) in enumerate(weighed)]
         self.blocks = -(-len(weighed) // BLOCK)
         self.bounds = np.zeros((len(idf), self.blocks), np.float32)
         postings: list[list[tuple[int, float]]] = [[] for _ in idf]
@@ -249,7 +253,7 @@ class Index:
             return None, []
         share = (toxic + self.prior * 0.5) / (votes + 0.5)
         lean = min(1.0, 4 * top)  # a query that nothing resembles keeps some of the prior
-        return lean * share + (1 - lean) * self.prior, [Evidence(x, s, int(self.n[x]), int(self.n_toxic[x])) for s, x in found]
+        return lean * share + (1 - lean) * self.prior, [Evidence(self.ids[x], s, int(self.n[x]), int(self.n_toxic[x])) for s, x in found]
 
     def calibrate(self, most: int = 4_000) -> None:
         """Fits the logistic curve from shares to labels on examples that are judged by all others."""
@@ -292,14 +296,14 @@ def fit(ws: Workspace, docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, I
     vectors = ws.save(counted(docs, chosen), "vectors")
     total, df = document_frequencies(vectors, len(chosen))
     idf = np.log((1 + total) / (1 + df)) + 1
-    rows = vectors.join(F.broadcast(few), "doc_id").groupBy("terms", "counts").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).collect()  # SAMPLE rows at most, unless ids repeat
-    index = Index(idf, sorted((tuple(r.terms), tuple(r.counts), r.n, r.pos) for r in rows))
+    rows = vectors.join(F.broadcast(few), "doc_id").groupBy("terms", "counts").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos"), F.min("doc_id").alias("first")).collect()  # SAMPLE rows at most, unless ids repeat
+    index = Index(idf, sorted((tuple(r.terms), tuple(r.counts), r.n, r.pos, r.first) for r in rows))
     index.calibrate()
     return vectors, index
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the nearest examples as evidence."""
+    """doc_id, held_out, score, predicted, and the nearest examples by doc_id as evidence."""
     spark = docs.sparkSession
     vectors, index = fit(Workspace(spark, "toxicity"), docs, labels)
     shared = spark.sparkContext.broadcast(index)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from assetlode.llm import op4_html
+import random
+
+from assetlode.llm import op4_html, op10_toxicity
 from assetlode.plans import registry
 
 
@@ -37,3 +39,20 @@ def test_html_keeps_article_text():
     # but long comments don't replace an article, and an advert isn't one
     assert op4_html.blocks(f"<div><p>{body}</p></div><div class=comments><p>{BODY * 4}</p></div>") == [body]
     assert op4_html.blocks("<div class=ad>Buy this now, it is cheap.</div><div><p>Short one.</p></div>") == ["Short one."]
+
+
+def test_toxicity_learns_where_most_rows_are_toxic(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(300):
+        toxic = i % 4 != 0
+        words = [rng.choice("abcdefgh") * 3 + str(rng.randint(0, 30)) for _ in range(20)] + [rng.choice(["vilebad", "vilemean"] if toxic else ["kindgood", "kindmild"]) for _ in range(3)]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    got = {r.doc_id: r for r in op10_toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [(got[i].predicted, t) for i, t in labels if got[i].held_out]
+    assert sum(p == t for p, t in held) >= 0.95 * len(held)
+    # the evidence names rows that were learned from
+    first = {i: int(r.evidence.split(":")[0]) for i, r in got.items()}
+    assert not any(got[e].held_out for e in first.values())
+    assert all(dict(labels)[e] == dict(labels)[i] for i, e in first.items())
