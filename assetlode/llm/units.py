@@ -18,13 +18,18 @@ PATTERN = regex.compile(public_tokenizers.PATTERN)
 
 
 class TwoAges(dict):
-    """A bounded table: what was not asked for since the last turn-over is forgotten. fill gives a missing value."""
+    """A bounded table: what was not asked for since the last turn-over is forgotten. fill gives a missing value.
 
-    def __init__(self, fill: Callable[[Any], Any], most: int) -> None:
+    Texts longer than longest are never kept as keys, so these take up 2 * most * longest characters at most.
+    """
+
+    def __init__(self, fill: Callable[[Any], Any], most: int, longest: int | None = None) -> None:
         super().__init__()
-        self.fill, self.most, self.old = fill, most, {}
+        self.fill, self.most, self.longest, self.old = fill, most, longest, {}
 
     def __missing__(self, key: Any) -> Any:
+        if self.longest and len(key) > self.longest:
+            return self.fill(key)
         found = self.old.get(key, self)
         if found is self:
             found = self.fill(key)
@@ -32,6 +37,8 @@ class TwoAges(dict):
         return found
 
     def keep(self, key: Any, value: Any) -> None:
+        if self.longest and len(key) > self.longest:
+            return
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

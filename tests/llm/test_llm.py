@@ -277,24 +277,128 @@ def test_quality_finds_outliers(spark, docs, none):
     assert abs(op9_quality.chi2_cdf(op9_quality.chi2_quantile(0.975, 6), 6) - 0.975) < 1e-9
 
 
-def test_toxicity_index_is_exact():
+def toxicity_by_rule(texts, labels, sampled):
+    """Scores of all texts, written anew from the contract of the operator: dense vectors, every example, no index."""
+    o, rule = op10_toxicity, {}
+    bags = []
+    for t in texts:
+        bag = {}
+        for w in re.findall(r"\w+", (t or "").lower()):
+            for term in [w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)]:
+                bag[term] = bag.get(term, 0) + 1
+        bags.append(bag)
+    n = len(texts)
+
+    def vectors(train, judged):
+        known = sorted({t for i in train for t in bags[i]})
+        toxic = sum(labels[i] for i in train)
+        weight = []
+        for t in known:
+            having = [i for i in train if t in bags[i]]
+            a, m = sum(labels[i] for i in having), len(having)
+            under = m * (len(train) - m) * toxic * (len(train) - toxic)
+            chi2 = len(train) * (a * len(train) - m * toxic) ** 2 / under if under else 0
+            relevance = max(0.05, (chi2 / len(train)) ** 0.5) if m >= 3 and chi2 >= 8 else 0.05
+            weight.append((np.log((1 + n) / (1 + sum(t in b for b in bags))) + 1) * relevance)
+        out = []
+        for i in judged:
+            v = np.array([(1 + np.log(bags[i][t])) * w if t in bags[i] else 0.0 for t, w in zip(known, weight, strict=True)])
+            out.append(v / (np.linalg.norm(v) or 1))
+        return np.array(out)
+
+    def shares(train, judged):
+        both = vectors(train, [*train, *judged])
+        x, q = both[: len(train)], both[len(train) :]
+        prior = (sum(labels[i] for i in train) + o.PRIOR) / (len(train) + 1)
+        found = []
+        for v in q:
+            s = (x @ v).round(12)
+            cut = sorted(s[s > 0], reverse=True)[: o.K]
+            votes = [(s[j] ** 2, labels[train[j]]) for j in np.argsort(-s, kind="stable")[: len(cut)]]
+            found.append((sum(w * y for w, y in votes) + o.SMOOTHING * prior) / (sum(w for w, _ in votes) + o.SMOOTHING))
+        return found
+
+    half, other = sampled[::2], sampled[1::2]
+    scale, offset = o.curve(shares(other, half) + shares(half, other), np.array([labels[i] for i in half + other]))
+    for i, share in enumerate(shares(sampled, list(range(n)))):
+        z = np.clip(share, 1e-4, 1 - 1e-4)
+        rule[i] = 1 / (1 + np.exp(-(scale * np.log(z / (1 - z)) + offset)))
+    return rule
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    texts, labels = [], {}
+    for i in range(300):
+        toxic = rng.random() < 0.3
+        texts.append(" ".join([*rng.choices(words, k=rng.randint(5, 60)), f"only{i}", *(["vilebad", "vilemean"] if toxic else [])]))
+        labels[i] = int(toxic)
+    texts[7], texts[8] = "", None
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in op10_toxicity.scored(rows, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()}
+    sampled = [i for i in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    want = toxicity_by_rule(texts, labels, sampled)
+    assert all(abs(got[i].score - want[i]) < 1e-6 for i in range(300))
+
+
+def test_toxicity_index_is_exact(monkeypatch):
+    monkeypatch.setattr(op10_toxicity, "HEAD", 25)
     rng = np.random.default_rng(8)
-    examples = []
-    for _ in range(900):
-        t = np.sort(rng.choice(60, rng.integers(1, 6), replace=False))
-        examples.append((tuple(t.tolist()), tuple(rng.integers(1, 4, len(t)).tolist()), 1, int(rng.random() < 0.4)))
-    index = op10_toxicity.Index(rng.random(60) + 1, examples)
-    dense = np.zeros((len(index.vectors), 60))
-    for x, (t, c) in enumerate(index.vectors):
-        dense[x, t] = index.weights(t, c)
-    for t, c in index.vectors[::40]:
+    rows = [np.sort(rng.choice(60, rng.integers(1, 9), replace=False)) for _ in range(1500)]
+    count = rng.integers(1, 4, sum(map(len, rows)))
+    start = np.concatenate([[0], np.cumsum(list(map(len, rows)))])
+    examples = op10_toxicity.Examples(np.arange(1500), (rng.random(1500) < 0.4).astype(int), start, np.concatenate(rows), count)
+    index = op10_toxicity.Index(rng.random(60) + 0.1, examples)
+    assert index.n.sum() == 1500 and index.n_toxic.sum() == examples.label.sum()
+    dense = np.zeros((1500, 60))
+    for x in range(1500):
+        at = slice(start[x], start[x + 1])
+        dense[x, rows[x]] = index.weights(rows[x], count[at])
+    queries = [(rows[x], count[start[x] : start[x + 1]]) for x in range(0, 1500, 40)] + [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    first = {(rows[x].tobytes(), count[start[x] : start[x + 1]].tobytes()): x for x in range(1500)}
+    distinct = dense[sorted(first.values())]
+    for (t, c), found in zip(queries, index.nearest(queries), strict=True):
+        if not len(t):
+            assert found == []
+            continue
         q = np.zeros(60)
         q[t] = index.weights(t, c)
-        want = (dense @ q).round(12)
-        got = index.nearest(t, c)
-        order = np.lexsort((np.arange(len(want)), -want))[: len(got)]
-        assert np.allclose([s for s, _ in got], want[order], atol=1e-11)
-        assert len(got) == min(op10_toxicity.K, int((want > 0).sum()))
+        want = np.sort(distinct @ q)[::-1][: op10_toxicity.K]
+        assert np.allclose([s for s, _ in found], want[want > 0][: len(found)], atol=1e-9) and len(found) == (want > 0).sum()
+
+
+def test_toxicity_one_sided_labels_and_common_words(spark, docs):
+    texts = spark.createDataFrame([(i, f"common word{i % 7}") for i in range(40)], "doc_id long, text string")
+    for labels, want in (([0] * 40, {0}), ([1] * 40, {1}), ([i % 7 == 3 for i in range(40)], {0, 1})):
+        rows = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)], "doc_id long, toxic int")
+        got = op10_toxicity.scored(texts, rows).collect()
+        assert {r.predicted for r in got} == want and len(got) == 40 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_toxicity_repeated_ids(spark):
+    rows = [(i, f"kind words number {i}") for i in range(60)] + [(60, "vile vile thing"), (60, "another text of the same id")] + [(61, "vile vile thing")] * 3 + [(None, "vile vile thing")]
+    lab = [(i, int(i >= 60)) for i in range(62)] + [(60, 0)]
+    got = op10_toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(lab, "doc_id long, toxic int")).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 61}) == 1
+    assert all(int(r.evidence.split(":")[0]) < 62 for r in got if r.evidence)
+
+
+def test_toxicity_learns_where_most_rows_are_toxic(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(300):
+        toxic = i % 4 != 0
+        words = [rng.choice("abcdefgh") * 3 + str(rng.randint(0, 30)) for _ in range(20)] + [rng.choice(["vilebad", "vilemean"] if toxic else ["kindgood", "kindmild"]) for _ in range(3)]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    got = {r.doc_id: r for r in op10_toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [(got[i].predicted, t) for i, t in labels if got[i].held_out]
+    assert sum(p == t for p, t in held) >= 0.95 * len(held)
+    # the evidence names rows that were learned from
+    first = {i: int(r.evidence.split(":")[0]) for i, r in got.items()}
+    assert not any(got[e].held_out for e in first.values())
+    assert all(dict(labels)[e] == dict(labels)[i] for i, e in first.items())
 
 
 def test_toxicity_learns_and_holds_out(spark, docs, none):
