@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
-from assetlode.llm import op4_html, op10_toxicity
 from assetlode.plans import registry
 
 
@@ -13,46 +10,3 @@ def test_escaped_evidence_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.shown for r in registry.queries()["escaped_evidence"](spark, str(tmp_path)).collect()}
     assert got == {1: "a" * 250 + "\\n\\x07", 2: "", 3: None}
-
-
-BODY = "long text " * 30
-
-
-def test_html_article_is_a_hint():
-    body = BODY.strip()
-    # text outside the mark that passes the same tests is kept, a short article beside it is not
-    assert op4_html.blocks(f"<article><p>{body}</p></article><div><p>{body}</p></div>") == [body, body]
-    assert op4_html.blocks(f"<article><p>Short teaser.</p></article><div><p>{body}</p></div>") == [body]
-    assert op4_html.blocks(f"<main><div><p>{body}</p></div><article><p>Teaser</p></article></main>") == [body, "Teaser"]
-    # the tags change nothing on a page whose regions dropped elements part
-    page = f"<nav><a>x</a></nav><article><h1>T</h1><p>{body}</p><p>end</p></article><footer>f</footer>"
-    assert op4_html.blocks(page) == op4_html.blocks(page.replace("article", "div")) == ["T", body, "end"]
-
-
-def test_html_keeps_article_text():
-    body = BODY.strip()
-    # what follows an advert inside the article stays, however short
-    page = f"<body><nav>n</nav><div id=wrap><p>{body}</p><aside>advert</aside><p>The end.</p></div></body>"
-    assert op4_html.blocks(page) == [body, "The end."]
-    # one class word doesn't drop the element that holds the page's text
-    assert op4_html.blocks(f"<div>Intro.</div><div class='widget share'><p>{body}</p><div class=ad>Buy</div></div>") == ["Intro.", body]
-    # but long comments don't replace an article, and an advert isn't one
-    assert op4_html.blocks(f"<div><p>{body}</p></div><div class=comments><p>{BODY * 4}</p></div>") == [body]
-    assert op4_html.blocks("<div class=ad>Buy this now, it is cheap.</div><div><p>Short one.</p></div>") == ["Short one."]
-
-
-def test_toxicity_learns_where_most_rows_are_toxic(spark):
-    rng = random.Random(4)
-    rows, labels = [], []
-    for i in range(300):
-        toxic = i % 4 != 0
-        words = [rng.choice("abcdefgh") * 3 + str(rng.randint(0, 30)) for _ in range(20)] + [rng.choice(["vilebad", "vilemean"] if toxic else ["kindgood", "kindmild"]) for _ in range(3)]
-        rows.append((i, " ".join(words)))
-        labels.append((i, int(toxic)))
-    got = {r.doc_id: r for r in op10_toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
-    held = [(got[i].predicted, t) for i, t in labels if got[i].held_out]
-    assert sum(p == t for p, t in held) >= 0.95 * len(held)
-    # the evidence names rows that were learned from
-    first = {i: int(r.evidence.split(":")[0]) for i, r in got.items()}
-    assert not any(got[e].held_out for e in first.values())
-    assert all(dict(labels)[e] == dict(labels)[i] for i, e in first.items())
