@@ -277,6 +277,58 @@ def test_quality_finds_outliers(spark, docs, none):
     assert abs(op9_quality.chi2_cdf(op9_quality.chi2_quantile(0.975, 6), 6) - 0.975) < 1e-9
 
 
+def test_quality_equals_brute_force_estimates(spark):
+    """Exact cores, random starts and no bins give the same verdicts on three groups."""
+    o, rng, rows = op9_quality, random.Random(11), []
+    np_rng = np.random.default_rng(11)
+    for g, (longest, marks) in enumerate(((6, ""), (9, ",."), (12, ";:-"))):
+        for i in range(260):
+            words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, longest))) + (rng.choice(marks) if marks and rng.random() < 0.2 else "") for _ in range(rng.randint(60, 400))]
+            words = [w.capitalize() if rng.random() < 0.1 else w for w in words]
+            if i % 13 == 0:
+                words = [w.upper() if rng.random() < 0.8 else w + "#" for w in words]
+            rows.append((len(rows), "\n".join(" ".join(words[j : j + 12]) for j in range(0, len(words), 12)), "en", f"s{g}"))
+    got = {r.doc_id: r for r in o.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    found = [o.statistics(t.encode()) for _, t, _, _ in rows]
+    x, v = np.array([f[5] for f in found]), np.array([f[6] for f in found])
+
+    def far(c, s, which):
+        return np.array([(x[i] - c) @ np.linalg.inv(s + np.diag(v[i])) @ (x[i] - c) for i in which])
+
+    def estimate(which):
+        best = None
+        for _ in range(12):
+            few = np_rng.choice(which, 3 * o.P, replace=False)
+            c, s = x[few].mean(0), o.own_spread(np.cov(x[few].T), v[few].mean(0))
+            for _ in range(12):
+                core = which[np.argsort(far(c, s, which), kind="stable")[: int(o.CORE * len(which))]]
+                c, s = x[core].mean(0), o.own_spread(np.cov(x[core].T, bias=True) * o.CONSISTENCY, v[core].mean(0))
+            d = np.linalg.slogdet(s + np.diag(v[core].mean(0)))[1]
+            if best is None or d < best[0]:
+                best = d, c, s
+        near = which[far(best[1], best[2], which) <= o.chi2_quantile(o.NEAR, o.P)]
+        return x[near].mean(0), o.own_spread(np.cov(x[near].T, bias=True), v[near].mean(0)), len(which)
+
+    groups = [np.arange(g * 260, g * 260 + 260) for g in range(3)]
+    wide = estimate(np.arange(780))
+    same = 0
+    for which in groups:
+        c, s, _ = wide
+        for e in (wide, estimate(which)):  # the one language holds all rows
+            w = e[2] / (e[2] + o.SHRINK)
+            c, s = w * e[0] + (1 - w) * c, w * e[1] + (1 - w) * s
+        same += sum((d <= o.chi2_quantile(o.OUTLIER, o.P)) == got[i].kept for i, d in zip(which.tolist(), far(c, s, which), strict=True))
+        assert not any(got[i].kept for i in which.tolist() if i % 260 % 13 == 0)
+    assert same >= 770
+
+
+def test_quality_ties_and_small_groups(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, text, "en", "many") for i in range(300)] + [(300, text, "en", "alone"), (301, text, None, None), (302, "##### " * 90, "en", "alone2")]
+    got = {r.doc_id: r for r in op9_quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == 303 and all(got[i].kept and got[i].distance2 < 1 for i in range(302)) and not got[302].kept
+
+
 def toxicity_by_rule(texts, labels, sampled):
     """Scores of all texts, written anew from the contract of the operator: dense vectors, every example, no index."""
     o, rule = op10_toxicity, {}
