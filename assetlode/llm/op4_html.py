@@ -1,17 +1,24 @@
 """Main text of web pages by the distribution of text over blocks of lines.
 
-Markup is stripped into lines, one for each block element. Elements that by
-their name, role, class or id hold menus, headers, footers, sidebars, notices,
-adverts, forms or comments leave a gap of WINDOW empty lines, unless the lines beside it
-are siblings of the dropped element. An element with such a word in its class, id or
-role stays if it holds most of the page's text without links. The text length of a
-line, without its links, is summed over a sliding window of WINDOW lines; a surge
-point is a window whose sum passes SURGE (or is the page's largest), and the text
-runs on to the dive point, the next window without any text. Lines between the two
-are kept whole, short ones too; regions are kept if they have at least SHARE of the
-text of the largest. An article or main element is a hint only: its edges part
-regions, and gaps and links in it don't, but what it holds and what stands outside
-pass the same tests.
+Markup is stripped into lines, one for each block element. WINDOW empty lines part
+two lines if a container (div, section and the like) ends and another one begins
+between them, or if a dropped element stood between lines of different containers.
+The text length of a line, without its links, is summed over a sliding window of
+WINDOW lines; a surge point is a window whose sum passes SURGE (or is the page's
+largest), and the text runs on to the dive point, the next window without any text.
+Lines between the two are kept whole, short ones too, with the lines that lead up to
+the surge. Of runs that dives part, those with less than SHARE of the longest one's
+text are asides.
+
+Dropped before that are elements that by their name hold menus, footers, sidebars,
+forms, scripts or styles, a header outside an article, hidden elements, and containers
+whose class, id or role says so: a name all of whose words are in MARKS or GENERIC, one
+at least in MARKS ("ad", "site-footer", not "social-history"). Such a container stays
+if it holds most of the page's text without links. An element that no end tag of its
+name follows isn't dropped, so what comes after it stays.
+
+An article or main element is a hint only: its edges part runs, and containers, gaps
+and links in it don't, but what it holds and what stands outside pass the same tests.
 
 Defined results: null or empty html, and pages without text, give an empty text;
 repeated rows are handled row by row; null ids and urls stay null; an empty table
@@ -22,6 +29,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from itertools import takewhile
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -38,6 +46,8 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video xmp noframes".split())
+#: Elements that part runs of text and that a class may drop.
+CONTAINERS = frozenset("article aside body center details dialog div footer form header main nav section".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("nav footer aside form header menu dialog head button select option fieldset label datalist".split())
 #: Words in a class, id or role that mark what isn't the article.
@@ -47,6 +57,8 @@ MARKS = frozenset(
     "pager pagination popup privacy promo promotion recommended related replies reply respond responses search share sharing sidebar signup sitemap social "
     "sponsor sponsored subscribe subscription tags teaser toolbar topbar widget".split()
 )
+#: Words that may stand beside one of MARKS in a name.
+GENERIC = frozenset("area bar block body bottom box container content entry group heading inner item items left link links list main module page panel post posts right row section site sub text title top unit wrap wrapper".split())
 #: Those that a header inside an article may carry.
 TITLE_MARKS = frozenset({"header", "byline"})
 #: Words that, standing with one of MARKS, tell that the element holds the article itself.
@@ -64,9 +76,10 @@ class Line(NamedTuple):
     text: str
     length: int
     article: int
-    #: The block it lies in and the block around that; of a gap, the block that the dropped element lies in.
-    block: int = 0
-    around: int = 0
+    #: The containers that it lies in, outermost first.
+    path: tuple[int, ...] = ()
+    #: Whether an element was dropped since the line before.
+    after_gap: bool = False
 
 
 class Held(NamedTuple):
@@ -89,7 +102,10 @@ def _dropped(name: str, attributes: str, in_article: bool) -> bool | frozenset[s
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
             return True
         if key in ("class", "id", "role"):
-            words.update(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
+            for token in value.split():
+                parts = {w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if w}
+                if name in CONTAINERS or name in ("ul", "ol", "dl", "table"):
+                    words |= parts if not parts - MARKS - GENERIC else parts & CONTENT_MARKS
     marked = words & MARKS
     if in_article or name in ("article", "main"):
         marked -= TITLE_MARKS
@@ -97,7 +113,7 @@ def _dropped(name: str, attributes: str, in_article: bool) -> bool | frozenset[s
 
 
 def lines(page: str) -> list[Line]:
-    """The page's blocks in order, and the gaps that dropped elements leave.
+    """The page's blocks in order.
 
     An element that is dropped for its words stays if it holds most of the page's text
     without links, and more than SURGE; one of READERS_MARKS does so only if no window of
@@ -109,7 +125,7 @@ def lines(page: str) -> list[Line]:
         rest = [line.length for line in found]
         total = sum(rest) + sum(h.length[0] for h in held)
         most = max(held, key=lambda h: h.length[0], default=None)
-        if most is None or most.length[0] <= max(SURGE, total / 2) or any(sum(rest[i : i + WINDOW]) > (0 if most.words & PAID_MARKS else SURGE) for i in range(len(rest)) if most.words & (READERS_MARKS | PAID_MARKS)):
+        if most is None or most.length[0] <= max(SURGE, total / 2) or most.words & (READERS_MARKS | PAID_MARKS) and any(x > (0 if most.words & PAID_MARKS else SURGE) for x in window_sums(rest)):
             return found
         kept.add(most.at)
 
@@ -119,25 +135,27 @@ def _lines(page: str, kept: set[int]) -> tuple[list[Line], list[Held]]:
     out: list[Line] = []
     held: list[Held] = []
     parts: list[str] = []
+    lower = page.lower()
     links = linked = 0
     stack: list[tuple[str, str, int]] = []  # element, what it is ("", "article", "main", "worded" or "dropped") and where it begins
     kinds = {"dropped": 0, "worded": 0, "article": 0, "main": 0}
     number = 0
+    gap = False
+    last_end: dict[str, int] = {}
 
-    def block_of() -> tuple[int, int]:
-        found = [at for name, _, at in stack if name in BLOCK][-2:]
-        return (found[-1] if found else 0), (found[0] if len(found) > 1 else 0)
-
-    def gap() -> list[Line]:
-        """What a dropped element leaves; p and li end before it."""
-        return [Line("", 0, 0, next((at for name, _, at in reversed(stack) if name in BLOCK and name not in ("p", "li")), 0))] * WINDOW
+    def never_ends(name: str, at: int) -> bool:
+        if name not in last_end:
+            last_end[name] = lower.rfind(f"</{name}")
+        return last_end[name] < at
 
     def end_line() -> None:
-        nonlocal linked
+        nonlocal linked, gap
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Line(text, max(0, len(text) - linked), number if kinds["article"] else -number if kinds["main"] else 0, *block_of()))
+                path = tuple(at for name, _, at in stack if name in CONTAINERS)
+                out.append(Line(text, max(0, len(text) - linked), number if kinds["article"] else -number if kinds["main"] else 0, path, gap))
+                gap = False
             parts.clear()
         linked = 0
 
@@ -153,12 +171,12 @@ def _lines(page: str, kept: set[int]) -> tuple[list[Line], list[Held]]:
                 linked += len(text)
 
     def leave(n: int) -> None:
+        nonlocal gap
         while len(stack) > n:
             kind = stack.pop()[1]
             if kind:
                 kinds[kind] -= 1
-                if kind in ("dropped", "worded") and not kinds["dropped"] and not kinds["worded"]:
-                    out.extend(gap())
+                gap |= kind in ("dropped", "worded")
 
     at = 0
     while m := _TAG.search(page, at):
@@ -183,8 +201,12 @@ def _lines(page: str, kept: set[int]) -> tuple[list[Line], list[Held]]:
             continue
         if name in RAW:
             if not attributes.endswith("/"):
-                close = re.compile(rf"</{name}(?![A-Za-z0-9])[^>]*>", re.I).search(page, at)
-                at = close.end() if close else len(page)
+                close = None if never_ends(name, at) else re.compile(rf"</{name}(?![A-Za-z0-9])[^>]*>", re.I).search(page, at)
+                if close:
+                    at = close.end()
+                elif name in ("script", "style"):  # its code goes on to the next element
+                    after = _TAG.search(page, at)
+                    at = after.start() if after else len(page)
             continue
         if name in VOID:
             continue
@@ -199,11 +221,11 @@ def _lines(page: str, kept: set[int]) -> tuple[list[Line], list[Held]]:
         kind = ""
         if not kinds["dropped"]:
             why = _dropped(name, attributes, bool(kinds["article"]))
+            if why and never_ends(name, at):
+                why = False
             if why is True or why and at not in kept and not kinds["worded"]:
                 kind = "dropped" if why is True else "worded"
                 end_line()
-                if not kinds["worded"]:
-                    out.extend(gap())
                 if why is not True:
                     held.append(Held(at, why, [0]))
             elif name in ("article", "main"):
@@ -217,17 +239,15 @@ def _lines(page: str, kept: set[int]) -> tuple[list[Line], list[Held]]:
     return out, held
 
 
-def _joined(found: list[Line]) -> list[Line]:
-    """Without the gaps between two lines of one marked article, or of the block that the dropped element lies in."""
+def _parted(found: list[Line]) -> list[Line]:
+    """The lines with WINDOW empty ones between those that containers or dropped elements part."""
     out: list[Line] = []
-    gap: list[Line] = []
     for line in found:
-        if not line.text:
-            gap.append(line)
-            continue
-        if gap and out and not (line.article and line.article == out[-1].article or all(g.block in (x.block, x.around) for g in gap for x in (line, out[-1]))):
-            out += gap
-        gap = []
+        if out and not (line.article and out[-1].article and not line.after_gap) and not (line.article and line.article == out[-1].article):
+            before, here = out[-1].path, line.path
+            common = sum(1 for _ in takewhile(lambda ends: ends[0] == ends[1], zip(before, here, strict=False)))
+            if line.after_gap and before != here or len(before) > common < len(here):
+                out += [Line("", 0, 0)] * WINDOW
         out.append(line)
     return out
 
@@ -245,25 +265,36 @@ def _segments(found: list[Line]) -> list[list[Line]]:
     return out
 
 
+def window_sums(weights: list[int]) -> list[int]:
+    """Of the window that begins at each line."""
+    total = [0]
+    for w in weights:
+        total.append(total[-1] + w)
+    return [total[min(i + WINDOW, len(weights))] - total[i] for i in range(len(weights))]
+
+
+def runs(weights: list[int], surge: int) -> list[tuple[int, int]]:
+    """Where each run of text begins, and where it dives."""
+    sums, found, i = window_sums(weights), [], 0
+    while i < len(sums):
+        if sums[i] <= surge or not weights[i]:
+            i += 1
+            continue
+        start = i
+        while start and weights[start - 1]:  # the lead-in of the surge
+            start -= 1
+        while i < len(sums) and sums[i]:
+            i += 1
+        found.append((start, i))
+    return found
+
+
 def blocks(page: str | None) -> list[str]:
     """The blocks of the main text in page order."""
-    segments = _segments(_joined(lines(page or "")))
+    segments = _segments(_parted(lines(page or "")))
     weights = [[len(line.text) if line.article else line.length for line in s] for s in segments]
-    sums = [[sum(w[i : i + WINDOW]) for i in range(len(w))] for w in weights]
-    surge = min(SURGE, max((x for s in sums for x in s), default=0) - 1)
-    regions: list[tuple[int, list[Line]]] = []
-    for segment, w, s in zip(segments, weights, sums, strict=True):
-        i, n = 0, len(s)
-        while i < n:
-            if s[i] <= surge or not w[i]:
-                i += 1
-                continue
-            start = i
-            while start and w[start - 1]:  # the lead-in of the surge
-                start -= 1
-            while i < n and s[i]:
-                i += 1
-            regions.append((sum(w[start:i]), segment[start:i]))
+    surge = min(SURGE, max((x for w in weights for x in window_sums(w)), default=0) - 1)
+    regions = [(sum(w[a:b]), s[a:b]) for s, w in zip(segments, weights, strict=True) for a, b in runs(w, surge)]
     least = SHARE * max((t for t, _ in regions), default=0)
     return [line.text for t, region in regions if t >= least for line in region if line.text]
 
