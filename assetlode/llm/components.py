@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star."""
+"""Connected components by alternating large-star and small-star, and joins on keys that may hold most rows."""
 
 from __future__ import annotations
 
@@ -7,22 +7,36 @@ from pyspark.sql import functions as F
 
 from assetlode.workspace import Workspace
 
+#: A key with more than this share of all rows is hot; there are 1 / HOT such keys at most.
+HOT = 1 / 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join with right, which has one row a key and n, left's rows of that key; total are left's rows.
+
+    The rows of right for hot keys, 1 / HOT at most, are broadcast, so their rows of left stay where they are.
+    """
+    most = max(1, int(total * HOT))
+    hot = right.where(F.col("n") > most)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col("n") <= most).hint("merge"), key)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node links its larger neighbours to the least node that it knows."""
     near = _both(edges)
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return near.where("b > a").join(least, "a").select(F.col("b"), F.col("m").alias("a")).select("a", "b").distinct()
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+    return hot_join(near.where("b > a"), least, "a", 2 * total).select(F.col("m").alias("a"), "b").distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of them; edges have a < b."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    least = edges.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+    moved = hot_join(edges, least, "b", total).where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
@@ -36,8 +50,9 @@ def components(ws: Workspace, edges: DataFrame, name: str = "components") -> Dat
     state, step = _state(now), 0
     while True:
         step += 1
-        then = ws.save(small_star(large_star(now)), f"{name}-{step}")
-        ws.drop(f"{name}-{step - 1}")
+        starred = ws.save(large_star(now, state[0]), f"{name}-{step}-large")
+        then = ws.save(small_star(starred, state[0]), f"{name}-{step}")
+        ws.drop(f"{name}-{step - 1}", f"{name}-{step}-large")
         before, state, now = state, _state(then), then
         if state == before:
             break

@@ -153,6 +153,60 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(got[i].kept == (want[i] == i) and got[i].n_shingles == len(sets[i]) for i in got)
 
 
+def sets_by_rule(text):
+    """The shingles themselves, from the contract."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicates_of_the_test_table_equal_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    sets = [sets_by_rule(r.text) for r in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    root = components(len(rows), links)
+    least = {}
+    for i, r in enumerate(rows):
+        least[root[i]] = min(least.get(root[i], r.doc_id), r.doc_id)
+    want = {r.doc_id: (len(sets[i]), least[root[i]], least[root[i]] == r.doc_id) for i, r in enumerate(rows)}
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in op5_minhash.duplicates(docs).collect()} == want
+
+
+def test_near_duplicates_of_shared_and_null_ids(spark):
+    rng = random.Random(2)
+    a, b, c = ([f"{rng.randint(0, 10**6)}" for _ in range(200)] for _ in range(3))
+    near = lambda t, k: " ".join([*t[: k * 3], f"new{k}", *t[k * 3 + 1 :]])
+    rows = [(1, " ".join(a), "x"), (1, " ".join(b), "y"), (2, near(a, 4), "z"), (3, near(b, 9), "w"), (None, near(c, 1), "u"), (None, " ".join(c), "v"), (None, near(a, 30), "t"), (7, None, "e"), (None, "", "f"), (1, " ".join(a), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    got = op5_minhash.duplicates(docs).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id) == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (7, 7, True)]
+    assert sorted(str(r.component_id) for r in got if not r.doc_id) == ["1", "None", "None", "None"] and not any(r.kept for r in got if not r.doc_id)
+    stay = op5_minhash.deduplicated(docs)
+    assert stay.columns == docs.columns
+    left = stay.collect()
+    assert sorted(r.digest for r in left if r.digest in "xyzwte") in (["e", "x"], ["e", "y"])
+    assert len([r for r in left if r.digest in "uv"]) == 1 and [r for r in left if r.digest == "f"] and len(left) == 4
+
+
+def test_near_duplicates_with_many_outsiders(spark, monkeypatch):
+    """A template whose copies are linked in part: small blocks and stars give what all pairs give."""
+    for name, value in (("BLOCK", 8), ("BUCKET_BLOCK", 16), ("STAR", 4)):
+        monkeypatch.setattr(op5_minhash, name, value)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        for _ in range(rng.randint(1, 6)):
+            w[rng.randrange(150)] = f"n{rng.randint(0, 10**6)}"
+        texts.append(" ".join(w))
+    sets = [sets_by_rule(t) for t in texts]
+    want = components(90, [(i, j) for i in range(90) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])])
+    got = {r.doc_id: r.component_id for r in op5_minhash.duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(90)] == want
+
+
 def test_shingles_are_the_contract():
     words = b"The quick  BROWN fox\tjumps over".lower().split()
     assert len(op5_minhash.shingles(b"The quick  BROWN fox\tjumps over")) == len(words) - 4
