@@ -6,7 +6,9 @@ main directions, then vertices move to the partition that holds most of their
 neighbours, most gain first, while no partition outgrows BALANCE times its share.
 A small network with one hidden layer learns the partition of a vector. Every row
 is put into its most probable partition, a query goes to several most probable
-ones, and their rows are ranked by cosine in double precision. How many is the
+ones, and their rows are ranked by cosine in double precision. There is a partition for
+PART_ROWS rows, but LEARNT vectors of the sample for each at least, so beyond
+SAMPLE / LEARNT partitions these grow with the table. How many are visited is the
 least number that finds RECALL of the sample's own neighbours: few where the
 vectors form clusters, and most of them where they fill the space evenly, as no
 partition can tell then where the neighbours are.
@@ -18,9 +20,10 @@ BLOCK rows by BLOCK queries, so a large one is searched by many tasks.
 
 Defined results: vectors that are null, zero, hold null or non-finite components,
 or haven't the table's most frequent length (the shorter one of equally frequent)
-take no part; rows with a null id take no part; rows that share an id are separate
-candidates, and a query's own id is no candidate of it; an empty table gives no
-rows; other columns are not read.
+take no part; rows with a null id take no part; of rows that share an id the one with
+the least digest of its vector is taken, as one query and one candidate; a query's own
+id is no candidate of it; with a single partition every row is searched; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,8 +40,8 @@ from assetlode.llm.batches import documents, map_batches, map_stream
 from assetlode.workspace import Workspace
 
 SAMPLE, NEIGHBOURS, BALANCE = 8_192, 10, 1.1
-#: Rows that a partition is planned for, and the bounds of the number of partitions.
-PART_ROWS, LEAST_PARTS, MOST_PARTS = 400, 2, 64
+#: Rows that a partition is planned for, and vectors of the sample that it is learned from at least.
+PART_ROWS, LEARNT = 400, 32
 #: Recall that the number of probes is chosen for, on the sample; queries that it is measured with.
 RECALL, TRIALS, LEAST_PROBES = 0.95, 1_024, 4
 HIDDEN, EPOCHS, RATE = 128, 25, 0.004
@@ -167,13 +170,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(rows: DataFrame, n_rows: int) -> tuple[Router | None, int]:
+def fit(rows: DataFrame, n_rows: int) -> tuple[Router, int]:
     """The router, learned on a bounded sample of distinct vectors, and the number of partitions that a query goes to."""
     few = rows.dropDuplicates(["digest"]).orderBy(F.xxhash64("digest"), "digest").limit(SAMPLE).select("vec").collect()
-    parts = int(min(MOST_PARTS, max(LEAST_PARTS, n_rows // PART_ROWS)))
-    if len(few) < 4 * parts:
-        return None, 1
+    parts = max(1, min(n_rows // PART_ROWS, len(few) // LEARNT))
     x = unit(np.frombuffer(b"".join(bytes(r.vec) for r in few), np.float64).reshape(len(few), -1))
+    if len(x) < 2:
+        return Router(x, np.zeros(len(x), np.int64), 1), 1
     graph = neighbour_graph(x)
     router = Router(x, balanced_partition(x, graph, parts), parts)
     return router, _probes(router, x, graph, parts)
@@ -184,7 +187,7 @@ def _probes(router: Router, x: np.ndarray, graph: np.ndarray, parts: int) -> int
     trials = np.arange(0, len(x), max(1, len(x) // TRIALS))
     s = x[trials] @ x.T
     s[np.arange(len(trials)), trials] = -2
-    nearest = np.argpartition(-s, K, axis=1)[:, :K]
+    nearest = np.argpartition(-s, min(K, len(x) - 1), axis=1)[:, :K]
     place = router.probable(x[trials], parts).argsort(axis=1)
     reached = np.sort(np.take_along_axis(place, own[nearest], axis=1).ravel())
     return min(parts, max(LEAST_PROBES, int(reached[int(np.ceil(RECALL * len(reached))) - 1]) + 1))
@@ -248,17 +251,17 @@ def neighbours(table: DataFrame, every: int = 50, id_col: str = "vec_id", vector
     """query_id, rank, vec_id, score: the K nearest found of each row whose id is divisible by `every`."""
     spark = table.sparkSession
     ws = Workspace(spark, "partitions")
-    rows = ws.save(usable(table, id_col, vector_col), "rows")
+    found = usable(table, id_col, vector_col).groupBy("vec_id").agg(F.min(F.struct("digest", "vec")).alias("v"))
+    rows = ws.save(found.select("vec_id", "v.vec", "v.digest"), "rows")
     n_rows = rows.count()
+    if not n_rows:
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     router, probes = fit(rows, n_rows)
     shared = spark.sparkContext.broadcast(router)
 
     def routed(df: DataFrame, n: int) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            if shared.value is None or not batch.num_rows:
-                to = np.zeros((batch.num_rows, 1), np.int64)
-            else:
-                to = shared.value.probable(unit(_rows(batch.column(1))), n)
+            to = shared.value.probable(unit(_rows(batch.column(1))), n) if batch.num_rows else np.zeros((0, 1), np.int64)
             return batch.append_column("parts", pa.array(to.tolist(), pa.list_(pa.int64())))
 
         return map_batches(df.select("vec_id", "vec", "digest"), each, "vec_id long, vec binary, digest binary, parts array<long>").withColumn("part", F.explode("parts")).drop("parts")
@@ -269,7 +272,7 @@ def neighbours(table: DataFrame, every: int = 50, id_col: str = "vec_id", vector
     asked = rows.where(F.col("vec_id") % every == 0)
     queries = ws.save(routed(asked.groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.first("vec").alias("vec")), probes), "queries")
     blocks = lambda df, name: df.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    plan = ws.save(blocks(indexed, "n_x").join(blocks(queries, "n_q"), "part"), "plan")  # a row for each partition, MOST_PARTS at most
+    plan = ws.save(blocks(indexed, "n_x").join(blocks(queries, "n_q"), "part"), "plan")  # a row for each partition, SAMPLE / LEARNT at most
     own = lambda n: F.pmod(F.xxhash64("digest", "vec_id"), F.col(n)).cast("int")
     every_block = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cols = ("vec_id", "vec", "digest")

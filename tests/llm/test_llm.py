@@ -102,6 +102,21 @@ def test_neighbours_recall(spark):
     assert op3_partitions.neighbours(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, x[i].tolist(), "y", 0) for i in range(60)] + [(50, x[50].tolist(), "y", 0)] * 9 + [(26, x[26].tolist(), "z", 1)] + [(7, [9.0] * 8, "z", 1), (70, [0.0] * 8, "z", 1), (80, [1.0, None] + [0.0] * 6, "z", 1)]
+    got = op3_partitions.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>, digest string, part int")).collect()
+    for q in (0, 50):
+        mine = sorted((r.rank, r.vec_id) for r in got if r.query_id == q)
+        assert [r for r, _ in mine] == [1, 2, 3, 4, 5] and len({v for _, v in mine}) == 5 and q not in {v for _, v in mine}
+        c = x @ x[q] / (np.linalg.norm(x, axis=1) * np.linalg.norm(x[q]))
+        c[[q, 7]] = -2
+        assert {v for _, v in mine if v != 7} <= set(np.argsort(-c)[:5].tolist())
+    for few in ([(50, [1.0, 0.0])], [(50, [1.0, 0.0]), (1, [1.0, 1.0])]):
+        assert op3_partitions.neighbours(spark.createDataFrame(few, "vec_id long, embedding array<double>")).count() == len(few) - 1
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
