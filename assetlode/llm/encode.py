@@ -9,10 +9,9 @@ import numpy as np
 
 from assetlode.llm.units import PATTERN, TwoAges, cut, open_ended, words_of
 
-#: Entries that a worker keeps: of pieces between spaces, and of pieces of the split pattern.
-UNITS, WORDS = 400_000, 400_000
-#: The string of the end-of-text token is ordinary text when it stands in a document.
-_SHARED: dict[str, Encoder] = {}
+#: Entries that a worker keeps: of pieces between spaces, and of pieces of the split pattern, and the longest of them.
+UNITS, WORDS, LONG = 400_000, 400_000, 64
+_SHARED: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
@@ -21,24 +20,30 @@ class Encoder:
     The library encodes each match of its split pattern by itself. What it
     gave for a piece is kept, so a piece seen before costs a look-up; every new
     piece goes through the library.
+
+    The library finds the strings of added tokens such as <|endoftext|> in a text before it splits the
+    rest, and gives their ids for them even without add_special_tokens. With special_as_text those
+    strings are ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = special_as_text
         self.vocabulary = self._tokenizer.get_vocab_size()
-        self._words = TwoAges(self._encode, WORDS)
-        self._units = TwoAges(self._unit, UNITS)
+        #: Strings that the library takes out of a text first.
+        self._added = [] if special_as_text else [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._words = TwoAges(self._encode, WORDS, LONG)
+        self._units = TwoAges(self._unit, UNITS, LONG)
 
     @classmethod
-    def shared(cls, path: str) -> Encoder:
+    def shared(cls, path: str, special_as_text: bool = False) -> Encoder:
         """One for each worker process and file, so what it learned serves the next task."""
-        if path not in _SHARED:
-            _SHARED[path] = cls(path)
-        return _SHARED[path]
+        if (path, special_as_text) not in _SHARED:
+            _SHARED[path, special_as_text] = cls(path, special_as_text)
+        return _SHARED[path, special_as_text]
 
     def _encode(self, word: str) -> bytes:
         return pack(f"<{len(ids := self._tokenizer.encode(word, add_special_tokens=False).ids)}I", *ids)
@@ -53,6 +58,8 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if any(a in text for a in self._added):
+            return self._encode(text)
         first, rest = cut(text)
         if rest and not open_ended(first):
             try:

@@ -248,8 +248,16 @@ def test_merges_equal_tiktoken(docs):
     got = codec.encode(texts)
     assert got == [enc.encode_ordinary(t) for t in texts]
     assert all(codec.decode(g) == t.encode() for g, t in zip(got, texts, strict=True))
-    row = op6_merges.digest(docs.where("doc_id = 7"), RANKS).first()
-    assert row.decoded_sha256 == hashlib.sha256(ODD[7].encode()).hexdigest()
+    rows = op6_merges.digest(docs, RANKS).collect()
+    assert len(rows) == len(ODD) + 2 and sum(r.doc_id is None for r in rows) == 1
+    for r in rows:
+        text = "no id" if r.doc_id is None else ODD[r.doc_id] or ""
+        want = enc.encode_ordinary(text)
+        assert (r.n_tokens, r.decoded_sha256, r.ids_sha256) == (len(want), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
+    assert op6_merges.digest(docs.where("false"), RANKS).count() == 0
+    # words come from the partitions' tables, and a table of other words does no harm
+    codec.pieces["zzz"] = (1,)
+    assert codec.encode(["a zzz", "x" * 9000]) == [[*enc.encode_ordinary("a"), 1], enc.encode_ordinary("x" * 9000)] and list(codec.pieces) == ["zzz"]
     back = op6_merges.decoded(op6_merges.encoded(docs, RANKS), RANKS).where("doc_id = 7").first()
     assert back.text == ODD[7]
 
@@ -258,10 +266,22 @@ def reference_ids(text, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
+def test_strings_of_special_tokens():
+    from tokenizers import Tokenizer
+
+    from assetlode.llm.encode import Encoder
+
+    plain, literal = Tokenizer.from_file(JSON), Tokenizer.from_file(JSON)
+    literal.encode_special_tokens = True
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|endoftext|", "no such string", "a  <|endoftext|>\n\n b c"):
+        assert Encoder.shared(JSON).ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert Encoder.shared(JSON, special_as_text=True).ids(text).tolist() == literal.encode(text, add_special_tokens=False).ids
+    assert 50256 in Encoder.shared(JSON).ids("a<|endoftext|>b") and 50256 not in Encoder.shared(JSON, special_as_text=True).ids("a<|endoftext|>b")
+
+
 def test_records_round_trip(spark, docs, none):
     ws = Workspace(spark, "test-records")
     manifest = ws.save(op7_records.write(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), ws.path("shards"), JSON, shards=3), "manifest")
