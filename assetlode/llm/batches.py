@@ -25,7 +25,9 @@ def map_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    """The operators' results are lazy and read this setting when they run, so it stays lowered in the session."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

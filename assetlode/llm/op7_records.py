@@ -3,8 +3,8 @@
 File format of a shard `NAME.rec`: records one after another, each
     u64  length of the payload, little-endian
     u32  masked CRC-32 of the 8 length bytes
-    payload: i64 document id, u8 width of an id in bytes (2 or 4), u32 count of ids,
-             the ids, little-endian
+    payload: u8 1 if the document has an id, else 0; i64 document id; u8 width of a
+             token id in bytes (2 or 4); u32 count of token ids; these, little-endian
     u32  masked CRC-32 of the payload
 The mask is ((crc >> 15 | crc << 17) + 0xa282ead8) mod 2^32. `NAME.idx` holds a
 u64 offset for each record, so a reader can seek to records in any order. Shards
@@ -17,8 +17,10 @@ writes another file, and the manifest names only the files of attempts that
 finished, so a lost executor leaves no half-written shard in the data set.
 
 Defined results: a null or empty text is one end id. Rows that share an id are
-ordered by text. Null ids come first and read back as null. An empty table gives
-an empty manifest. Other columns are not read.
+ordered by a hash of the text and the text, and may lie in several shards. Null ids
+come first and read back as null. An empty table gives an empty manifest. Other
+columns are not read. The string of a special token in a text gets the id that the
+library gives it, unless special_as_text is set.
 """
 
 from __future__ import annotations
@@ -42,7 +44,6 @@ from assetlode.workspace import Workspace
 
 END_ID = 0
 MASK = 0xA282EAD8
-NULL_ID = -(2**63)
 #: Records read back in one batch, and bytes read at a time.
 BATCH_RECORDS, READ_BYTES = 512, 8_000_000
 
@@ -58,12 +59,12 @@ def frame(payload: bytes) -> bytes:
 
 
 def payload(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
-    return struct.pack("<qBI", NULL_ID if doc_id is None else doc_id, width, len(ids)) + ids.astype(f"<u{width}").tobytes()
+    return struct.pack("<BqBI", doc_id is not None, doc_id or 0, width, len(ids)) + ids.astype(f"<u{width}").tobytes()
 
 
 def unpack(data: bytes) -> tuple[int | None, np.ndarray]:
-    doc_id, width, n = struct.unpack_from("<qBI", data)
-    return None if doc_id == NULL_ID else doc_id, np.frombuffer(data, f"<u{width}", n, 13).astype("<u4")
+    known, doc_id, width, n = struct.unpack_from("<BqBI", data)
+    return doc_id if known else None, np.frombuffer(data, f"<u{width}", n, 14).astype("<u4")
 
 
 def records(stream: pa.NativeFile) -> Iterator[bytes]:
@@ -93,14 +94,16 @@ def offsets(path: str) -> np.ndarray:
         return np.frombuffer(f.read(), "<u8")
 
 
-def write(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
+def write(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None, special_as_text: bool = False) -> DataFrame:
     """Writes shards below out_dir and returns the manifest rows, one for each shard with records.
 
+    Without a number of shards the session's shuffle settings decide it by size.
+
     Each evaluation of the result writes the shards, so save it once and read the saved rows.
     """
     texts = texts_of(docs)
-    n = shards or max(1, texts.rdd.getNumPartitions())
-    ordered = texts.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()
+    ordered = texts.repartitionByRange(*([shards] if shards else []), *order).sortWithinPartitions(*order, "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -114,7 +117,7 @@ def write(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = END_ID, s
             if not batch.num_rows:
                 continue
             if out is None:
-                encoder = Encoder.shared(tokenizer)
+                encoder = Encoder.shared(tokenizer, special_as_text)
                 width = 2 if encoder.vocabulary <= 1 << 16 else 4
                 fs.create_dir(os.path.dirname(path), recursive=True)
                 out = fs.open_output_stream(path, buffer_size=1 << 20)

@@ -19,7 +19,8 @@ files, so a task that runs again after a loss gives the same pieces.
 
 Defined results: a null or empty text is one end id. Rows that share an id are
 packed row by row. A null id stays null. An empty table gives no rows. Other
-columns are not read.
+columns are not read. The string of a special token in a text gets the id that the
+library gives it, unless special_as_text is set.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def padded(length: int, capacity: int = CAPACITY) -> int:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """A row for each piece: where it stands in its document and in its sequence; with_ids adds the ids themselves."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int =
                     offset += len(p.ids)
 
         for batch in batches:
-            encoder = encoder or Encoder.shared(tokenizer)
+            encoder = encoder or Encoder.shared(tokenizer, special_as_text)
             ids, texts = columns(batch)
             out = []
             for doc_id, text in zip(ids.to_pylist(), texts, strict=True):

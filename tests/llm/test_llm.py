@@ -297,6 +297,28 @@ def test_records_round_trip(spark, docs, none):
     assert op7_records.read(ws.save(op7_records.write(none, ws.path("none"), JSON), "empty")).count() == 0
 
 
+def test_records_of_null_and_shared_ids(spark, docs):
+    ws = Workspace(spark, "test-nulls")
+    lowest = spark.createDataFrame([(-(2**63), "lowest id")], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(lowest)
+    manifest = ws.save(op7_records.write(both, ws.path("shards"), JSON, shards=4), "manifest")
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in op7_records.read(manifest).collect())
+    assert [d for _, d, _, _ in got][:2] == [None, -(2**63)] and [d for _, d, _, _ in got][2:] == sorted([*range(len(ODD)), 3])
+    assert [s for s, _, _, _ in got] == np.cumsum([0] + [n for _, _, n, _ in got])[:-1].tolist()
+    texts = {None: "no id", -(2**63): "lowest id"} | dict(enumerate(ODD))
+    for _, d, n, crc in got:
+        ids = reference_ids(texts[d], op7_records.END_ID)
+        assert (n, crc) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_packing_of_null_and_shared_ids(docs):
+    rows = op8_packing.pack(docs, JSON).collect()
+    whole = {}
+    for r in rows:
+        whole.setdefault(r.doc_id, []).append(r.length)
+    assert sum(whole[3]) == 2 * len(reference_ids(ODD[3], 1)) and sum(whole[None]) == len(reference_ids("no id", 1)) and len(whole) == len(ODD) + 1
+
+
 def test_damaged_record_is_noticed():
     import pyarrow as pa
 
