@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -137,7 +139,9 @@ def more_spans(text: str, base: list[Span]) -> list[Span]:
                 spans.append(Span(m.start(), m.end(), kind, min(1.0, score)))
     if not spans or not base:
         return spans
-    return [s for s in spans if not any(b.start < s.end and s.start < b.end for b in base)]
+    # the furthest end of the base spans that begin before a place tells whether one reaches over it
+    starts, ends = [b.start for b in base], list(accumulate((b.end for b in base), max))
+    return [s for s in spans if not (i := bisect_left(starts, s.end)) or ends[i - 1] <= s.start]
 
 
 def find(text: str | None) -> list[Span]:

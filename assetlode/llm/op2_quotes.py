@@ -2,8 +2,9 @@
 
 A line that starts with quote marks has as many levels as it has marks before its
 text. Runs of lines of one level, up to a blank line, are passages. Letters and
-digits of a passage in lower case, and of each of its lines, are hashed; a quoted
-hash leads to the first message of the conversation that has it in its own words.
+digits of a passage in lower case, and of each of its lines of MIN_CHARS at least, are
+hashed; a quoted hash leads to the first message of the conversation that has it in its
+own words. A whole passage under MIN_CHARS counts where nothing longer of it links.
 A message answers the latest of the messages that its outermost linked quotes
 lead to. Root and depth of each message follow from the answers by pointer
 doubling. What remains of a message after its quotes, and the lines that announce
@@ -11,11 +12,12 @@ them ("On ... wrote:"), is its text.
 
 Only DataFrame functions are used. Originals are found by a minimum for each hash,
 taken before the shuffle, and an equi-join with it, so a passage that many
-messages repeat makes no pairs. Sorted by conv_id, root_turn, depth and turn, every
+messages repeat makes no pairs; what more than a share HOT of all rows joins with goes by
+broadcast, so a common passage or root meets in no single task. Sorted by conv_id, root_turn, depth and turn, every
 message comes after the one that it answers.
 
-Defined results: a null or empty text stays without quotes and is empty; passages
-under MIN_CHARS normalised characters aren't linked; a message without linked
+Defined results: a null or empty text stays without quotes and is empty; lines under
+MIN_CHARS normalised characters link only as whole passages; a message without linked
 quotes is a root of its own; rows with a null conv_id or turn link to nothing
 (root_turn is their turn); rows that share conv_id and turn are one message with
 all their quotes, and each is returned; an empty table gives no rows; other
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlode.llm.batches import documents
+from assetlode.llm.components import hot_join
 from assetlode.workspace import Workspace
 
 MIN_CHARS = 16
@@ -72,17 +75,22 @@ def parsed(table: DataFrame) -> DataFrame:
 
 
 def _units(passage: Column) -> Column:
-    """Hashes of a passage and of its lines, without the short ones."""
-    norms = F.array_distinct(F.concat(F.array(passage["norm"]), passage["lines"]))
-    return F.transform(F.filter(norms, lambda x: F.length(x) >= MIN_CHARS), lambda x: F.xxhash64(x))
+    """Hashes of a passage and of its lines, and whether they are long; short lines are left out."""
+    norms = F.array_distinct(F.concat(F.array(passage["norm"]), F.filter(passage["lines"], lambda x: F.length(x) >= MIN_CHARS)))
+    return F.transform(norms, lambda x: F.struct(F.xxhash64(x).alias("unit"), (F.length(x) >= MIN_CHARS).alias("long")))
 
 
-def answers(messages: DataFrame) -> DataFrame:
+def answers(ws: Workspace, messages: DataFrame) -> DataFrame:
     """conv_id, turn, parent_turn, n_linked of the messages that quote an earlier one."""
-    own = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("passages", lambda p: p["level"] == 0), _units)))).alias("unit"))
+    known = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    own = known.select("conv_id", "turn", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("passages", lambda p: p["level"] == 0), _units)))["unit"]).alias("unit"))
     first = own.groupBy("conv_id", "unit").agg(F.min("turn").alias("original"))
-    quotes = messages.select("conv_id", "turn", F.posexplode(F.filter("passages", lambda p: p["level"] > 0)).alias("at", "passage")).select("conv_id", "turn", "at", F.col("passage.level").alias("level"), F.explode(_units(F.col("passage"))).alias("unit"))
-    linked = quotes.join(first, ["conv_id", "unit"]).where("original < turn").groupBy("conv_id", "turn", "at", "level").agg(F.max("original").alias("original"))
+    quotes = known.select("conv_id", "turn", F.posexplode(F.filter("passages", lambda p: p["level"] > 0)).alias("at", "passage")).select("conv_id", "turn", "at", F.col("passage.level").alias("level"), F.explode(_units(F.col("passage"))).alias("u"))
+    quotes = ws.save(quotes.select("turn", "at", "level", "u.long", F.struct("conv_id", "u.unit").alias("key")), "quoted")
+    asked = quotes.groupBy("key").agg(F.count("*").alias("n"))
+    found = first.select(F.struct("conv_id", "unit").alias("key"), "original").join(asked, "key")
+    linked = hot_join(quotes, found, "key", quotes.count()).where("original < turn")
+    linked = linked.groupBy("key.conv_id", "turn", "at", "level").agg(F.coalesce(F.max(F.when(F.col("long"), F.col("original"))), F.max("original")).alias("original"))
     # the outermost level first, then the latest original
     return linked.groupBy("conv_id", "turn").agg(F.max_by("original", F.struct(-F.col("level"), F.col("original"))).alias("parent_turn"), F.count("*").alias("n_linked"))
 
@@ -93,8 +101,12 @@ def placed(ws: Workspace, links: DataFrame) -> DataFrame:
     total, step = now.agg(F.sum("depth")).first()[0], 0
     while total:
         step += 1
-        on = now.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("further"), F.col("depth").alias("more"))
-        now = ws.save(now.join(on, ["conv_id", "root_turn"], "left").select("conv_id", "turn", F.coalesce("further", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), f"jump{step}")
+        keyed = now.withColumn("key", F.struct("conv_id", "root_turn"))
+        on = now.select(F.struct("conv_id", F.col("turn").alias("root_turn")).alias("key"), F.col("root_turn").alias("further"), F.col("depth").alias("more"))
+        steps = keyed.groupBy("key").agg(F.count("*").alias("n")).join(on, "key", "left")
+        moved = hot_join(keyed, steps, "key", now.count())
+        now = ws.save(moved.select("conv_id", "turn", F.coalesce("further", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), f"jump{step}")
+        ws.drop(f"jump{step - 1}")
         before, total = total, now.agg(F.sum("depth")).first()[0]
         if total == before:
             break
@@ -105,7 +117,7 @@ def threaded(table: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, n_quotes, n_linked, parent_turn, root_turn, depth of each message."""
     ws = Workspace(table.sparkSession, "quotes")
     messages = ws.save(parsed(table), "messages")
-    links = ws.save(answers(messages), "links")
+    links = ws.save(answers(ws, messages), "links")
     place = placed(ws, links)
     n_quotes = F.size(F.filter("passages", lambda p: p["level"] > 0)).cast("long")
     return (
@@ -145,13 +157,14 @@ WITH RECURSIVE raw AS (
 ), units AS (
   SELECT rid, conv_id, turn, passage, level, norm FROM passages
   UNION
-  SELECT m.rid, m.conv_id, m.turn, m.passage, p.level, m.norm FROM marked m JOIN passages p USING (rid, passage)
+  SELECT m.rid, m.conv_id, m.turn, m.passage, p.level, m.norm FROM marked m JOIN passages p USING (rid, passage) WHERE length(m.norm) >= {MIN_CHARS}
 ), usable AS (
-  SELECT * FROM units WHERE length(norm) >= {MIN_CHARS} AND conv_id IS NOT NULL AND turn IS NOT NULL
+  SELECT * FROM units WHERE conv_id IS NOT NULL AND turn IS NOT NULL
 ), firsts AS (
   SELECT conv_id, norm, min(turn) AS original FROM usable WHERE level = 0 GROUP BY ALL
 ), linked AS (
-  SELECT u.conv_id, u.turn, u.rid, u.passage, u.level, max(original) AS original
+  SELECT u.conv_id, u.turn, u.rid, u.passage, u.level,
+         coalesce(max(original) FILTER (length(u.norm) >= {MIN_CHARS}), max(original)) AS original
   FROM usable u JOIN firsts f ON u.conv_id = f.conv_id AND u.norm = f.norm
   WHERE u.level > 0 AND original < u.turn GROUP BY ALL
 ), links AS (

@@ -61,6 +61,16 @@ def test_pii_more_kinds_and_redaction():
     assert not op1_pii.mod97("GB82WEST12345698765433") and op1_pii.luhn("4111111111111111")
 
 
+def test_pii_further_spans_keep_clear_of_base_spans():
+    rng = random.Random(3)
+    for _ in range(300):
+        text = " ".join(rng.choice(["ssn 123-45-6789", "4111 1111 1111 1111", "1.2.3.4", "iban GB82 WEST 1234 5698 7654 32", "+1 555 123 4567 89", "call 555-123-4567", "a@b.co"]) for _ in range(12))
+        base = op1_pii.base_spans(text)
+        more = [s for s in op1_pii.find(text) if s.kind not in ("email", "ip", "card", "phone")]
+        assert not [s for s in more if any(b.start < s.end and s.start < b.end for b in base)]
+        assert len(more) >= len([s for s in op1_pii.more_spans(text, []) if not any(b.start < s.end and s.start < b.end for b in base)])
+
+
 def test_pii_odd_rows(docs, none):
     rows = op1_pii.digest(docs).collect()
     assert len(rows) == len(ODD) + 2 and {r.base_sha256 for r in rows if r.doc_id in (0, 1)} == {hashlib.sha256(b"").hexdigest()}
@@ -80,6 +90,18 @@ def test_quotes(spark):
     assert op2_quotes.threaded(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotes_short_passages_and_odd_rows(spark):
+    rows = [(1, 0, "u", "Shall we meet at the station tomorrow?", "k", 1), (1, 1, "a", "Sounds good.", "k", 1), (1, 2, "u", "> Sounds good.\nGreat, see you.", "k", 1), (1, 3, "a", "> Great, see you.\n> Shall we meet at the station tomorrow?\nYes.", "k", 1)]
+    rows += [(2, 0, "u", "word " * 5000, "k", 1), (2, 1, "a", "> " + "word " * 5000 + "\nok", "k", 1), (2, 1, "a", "> " + "word " * 5000 + "\nok", "k", 1)]
+    rows += [(3, 0, "u", "The same passage that all of them quote.", "k", 1)] + [(3, i, "a", "> The same passage that all of them quote.\nme too " + str(i), "k", 1) for i in range(1, 40)]
+    got = op2_quotes.threaded(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, key string, unit int")).collect()
+    by = {(r.conv_id, r.turn): r for r in got}
+    assert len(got) == len(rows)
+    assert by[1, 2].parent_turn == 1 and by[1, 2].root_turn == 1 and by[1, 3].parent_turn == 0 and by[1, 3].text == "Yes."
+    assert by[2, 1].parent_turn == 0 and by[2, 1].text == "ok" and sum((r.conv_id, r.turn) == (2, 1) for r in got) == 2
+    assert all(by[3, i].parent_turn == 0 and by[3, i].depth == 1 for i in range(1, 40))
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(12, 16))[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 16)) * 0.3
