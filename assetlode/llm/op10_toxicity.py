@@ -368,5 +368,22 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return map_batches(texts_of(docs).withColumn("held_out", held_out()), each, "doc_id long, held_out boolean, score double, predicted int, evidence string")
 
 
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with all their columns; the verdict is each row's own."""
+    ws = Workspace(docs.sparkSession, "toxicity")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(ws, docs, labels))  # terms and vectors of SAMPLE texts
+    ws.drop()
+    at, made = docs.columns.index("text"), []
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        vocabulary, index = shared.value
+        if not made:
+            made.append(Vectors(vocabulary))
+        nearest = index.nearest([made[0].count(t or "") for t in batch.column(at).to_pylist()]) if batch.num_rows else []
+        return batch.filter(pa.array([index.score(found) < THRESHOLD for found in nearest], pa.bool_()))
+
+    return map_batches(docs, each, docs.schema)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))

@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlode.llm.batches import column_bytes, documents, map_batches, map_stream
+from assetlode.llm.components import hot_join
 from assetlode.workspace import Workspace
 
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -141,7 +142,7 @@ def measured(docs: DataFrame) -> DataFrame:
     table = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        F.concat(F.lit("2:"), _key("lang"), F.lit("|"), _key("source")).alias("g2"),
+        _group().alias("g2"),
         F.concat(F.lit("1:"), _key("lang")).alias("g1"),
     )
     schema = "doc_id long, g2 string, g1 string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, " + ", ".join(f"{c} double" for c in _XS + _VS)
@@ -150,13 +151,21 @@ def measured(docs: DataFrame) -> DataFrame:
         ids, texts = column_bytes(batch)
         rows = [statistics(t) for t in texts]
         counts = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
-        failed = pa.array([r[0] < MIN_WORDS or 100 * r[4] > MAX_REPEATED * r[0] for r in rows], pa.bool_())
+        failed = pa.array(map(base_fails, rows), pa.bool_())
         xs = [pa.array([r[j][i] for r in rows], pa.float64()) for j in (5, 6) for i in range(P)]
         return pa.RecordBatch.from_arrays([ids, batch.column(2), batch.column(3), *counts, failed, *xs], ["doc_id", "g2", "g1", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *_XS, *_VS])
 
     return map_batches(table, each, schema)
 
 
+def base_fails(found: tuple) -> bool:
+    return found[0] < MIN_WORDS or 100 * found[4] > MAX_REPEATED * found[0]
+
+
+def _group() -> F.Column:
+    return F.concat(F.lit("2:"), _key("lang"), F.lit("|"), _key("source"))
+
+
 def _key(name: str) -> F.Column:
     """A text that differs for every value, null included."""
     c = F.col(name).cast("string")
@@ -237,6 +246,11 @@ def _middle(rows: DataFrame) -> DataFrame:
     return counts.groupBy("g").applyInPandas(each, _PARAMS)
 
 
+def _with(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """Rows of the levels with their group's parameters; the language and the whole table are hot keys."""
+    return hot_join(rows, params.select("g", F.col("n_group").alias("n"), "centre", "spread"), "g", params.agg(F.sum("n_group")).first()[0] or 0).select("g", *_XS, *_VS, "centre", "spread")
+
+
 def _sums(rows: DataFrame, of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
     """By group, start and bin the sums of what `of` gives of a batch: starts, bins and values, each with a row for each start and row of the batch."""
 
@@ -290,7 +304,7 @@ def _start(rows: DataFrame, middle: DataFrame) -> DataFrame:
         signs = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
         return np.repeat([1, 2], n), np.zeros(2 * n, np.int64), np.concatenate([_values(np.tanh(z), v), _values(signs, v)])
 
-    sums = _sums(rows.join(middle, "g").select("g", *_XS, *_VS, "centre", "spread"), of)
+    sums = _sums(_with(rows, middle), of)
 
     def each(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         centre, both = np.array(found["centre"].iloc[0][:P]), np.array(found["spread"].iloc[0]).reshape(2, P, P)
@@ -314,7 +328,7 @@ def _step(rows: DataFrame, params: DataFrame, starts: int, choose: bool = False,
         bins = [_bins(distances(x, v, centre[:, s], spread[:, s])) for s in range(starts)]
         return np.repeat(np.arange(starts), n), np.concatenate(bins), np.tile(_values(x, v), (starts, 1))
 
-    sums = _sums(rows.join(params, "g").select("g", *_XS, *_VS, "centre", "spread"), of)
+    sums = _sums(_with(rows, params), of)
 
     def each(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         out, n = [], 0
@@ -371,26 +385,59 @@ def drawn(rows: DataFrame, params: DataFrame) -> DataFrame:
     return groups.mapInPandas(lambda batches: map(_drawn, batches), "g2 string, centre array<double>, spread array<double>")
 
 
+def judges(ws: Workspace, all_rows: DataFrame) -> DataFrame:
+    """g2, its rows n, and the centre and spread that its rows are judged by; null where all rows failed the base rules."""
+    good = all_rows.where(~F.col("base_failed"))
+    found = drawn(good, estimates(ws, good))
+    return ws.save(all_rows.groupBy("g2").agg(F.count("*").alias("n")).join(found, "g2", "left"), "groups")
+
+
+def _too_far(batch: pa.RecordBatch, x: np.ndarray, v: np.ndarray, failed: np.ndarray) -> np.ndarray:
+    """Squared distances, nan where the base rules failed."""
+    d2 = np.full(len(failed), np.nan)
+    if not failed.all():
+        some = batch.filter(pa.array(~failed))
+        d2[~failed] = distances(x[~failed], v[~failed], _matrix(some.column("centre"), P), _matrix(some.column("spread"), P * P).reshape(-1, P, P))
+    return d2
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """Counts, base_failed, distance2 (null if base_failed) and kept of each document."""
     ws = Workspace(docs.sparkSession, "quality")
     all_rows = ws.save(measured(docs), "measured")
-    good = all_rows.where(~F.col("base_failed"))
-    groups = ws.save(drawn(good, estimates(ws, good)), "groups")
+    groups = judges(ws, all_rows)
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     cut = chi2_quantile(OUTLIER, P)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
-        d2 = np.full(batch.num_rows, np.nan)
-        if not failed.all():
-            some = batch.filter(pa.array(~failed))
-            d2[~failed] = distances(_columns(some, _XS), _columns(some, _VS), _matrix(some.column("centre"), P), _matrix(some.column("spread"), P * P).reshape(-1, P, P))
+        d2 = _too_far(batch, _columns(batch, _XS), _columns(batch, _VS), failed)
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in counts), pa.array(~failed & ~(d2 > cut)), pa.array(d2, mask=failed)], [*counts, "kept", "distance2"])
 
-    far = all_rows.join(groups, "g2", "left").select(*counts, *_XS, *_VS, "centre", "spread")
+    far = hot_join(all_rows, groups, "g2", all_rows.count()).select(*counts, *_XS, *_VS, "centre", "spread")
     return map_batches(far, each, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, distance2 double")
 
 
+def passed(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns; the verdict is each row's own."""
+    ws = Workspace(docs.sparkSession, "quality")
+    all_rows = ws.save(measured(docs), "measured")
+    groups, total, width, at = judges(ws, all_rows), all_rows.count(), len(docs.columns), docs.columns.index("text")
+    ws.drop("measured")
+    cut = chi2_quantile(OUTLIER, P)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [statistics((t or "").encode()) for t in batch.column(at).to_pylist()]
+        failed = np.array([base_fails(f) for f in found], bool)
+        own = pa.RecordBatch.from_arrays(batch.columns[width:], ["centre", "spread"])
+        d2 = _too_far(own, np.array([f[5] for f in found]).reshape(-1, P), np.array([f[6] for f in found]).reshape(-1, P), failed)
+        return pa.RecordBatch.from_arrays(batch.columns[:width], batch.schema.names[:width]).filter(pa.array(~failed & ~(d2 > cut)))
+
+    keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns), _group().alias("judged_group"))
+    of = groups.select(F.col("g2").alias("judged_group"), "n", F.col("centre").alias("judged_centre"), F.col("spread").alias("judged_spread"))
+    joined = hot_join(keyed, of, "judged_group", total).select(*(F.col(f"`{c}`") for c in docs.columns), "judged_centre", "judged_spread")
+    return map_batches(joined, each, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(documents(spark, sf_dir))

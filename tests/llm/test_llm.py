@@ -619,6 +619,30 @@ def test_pipeline_stages(spark):
     assert len(pieces) == docs.count() and all(r.n == r.m for r in pieces)
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null and repeated ids, clashing columns and empty tables go through all stages."""
+    import corpus_pipeline as c
+
+    rng = random.Random(6)
+    text = lambda *more: " ".join([*(rng.choice(["river", "stone", "walks", "under", "light"]) + str(rng.randint(0, 999)) for _ in range(120)), *more])
+    rows = [(i, text(*(["vilebad", "vilemean"] * 3 if i % 5 == 0 else [])), "en", "s", 1, "d", 0.5, "g") for i in range(200)]
+    same, lone = text(), text()
+    rows += [(None, lone, None, None, 1, "null id", 0.5, "g"), (None, text("vilebad", "vilemean", "vilebad", "vilemean"), "en", "s", 1, "toxic null id", 0.5, "g"), (300, same, "en", "s", 1, "first", 0.5, "g"), (300, text("vilebad", "vilemean", "vilebad", "vilemean"), "en", "s", 1, "toxic twin", 0.5, "g"), (None, same, "en", "s", 1, "copy", 0.5, "g"), (301, None, "en", "s", 1, "none", 0.5, "g")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, digest string, score double, g string"
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(200)]
+    for name, some in (("full", rows), ("empty", [])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(labels if some else [], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        docs, ws = spark.read.parquet(f"{d}/documents.parquet"), Workspace(spark, f"odd-{name}")
+        for stage, f in c.STAGES[:-1]:
+            docs = ws.save(f(spark, docs, d), stage)
+            assert docs.schema.simpleString() == spark.read.parquet(f"{d}/documents.parquet").schema.simpleString()
+        left = {r.digest for r in docs.collect()}
+        assert left == ({"d", "null id", "first"} if some else set())
+        assert c.STAGES[-1][1](spark, docs, d).select("doc_id").distinct().count() == (docs.select("doc_id").distinct().count())
+
+
 def test_ranks_file_is_read():
     ranks = op6_merges.read_ranks(RANKS)
     assert len(ranks) == 50_256 and ranks[base64.b64decode("IQ==")] == 0
