@@ -1,7 +1,9 @@
 """From raw documents to packed sequences: toxicity, quality, near duplicates, personal data, packing.
 
 Each stage reads what the one before it kept. All but the last return the columns
-of documents; the rows that a stage rejects don't go on.
+of documents; the rows that a stage rejects don't go on. A verdict is a row's own, so
+rows with a null id are judged like all others, and of rows that share an id each is
+judged by its text; those that share an id or a text are near duplicates of each other.
 """
 
 from __future__ import annotations
@@ -11,32 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlode.llm.op1_pii import redacted
-from assetlode.llm.op5_minhash import duplicates
+from assetlode.llm.op5_minhash import deduplicated
 from assetlode.llm.op8_packing import pack
-from assetlode.llm.op9_quality import judged
-from assetlode.llm.op10_toxicity import scored
+from assetlode.llm.op9_quality import passed
+from assetlode.llm.op10_toxicity import clean
 from assetlode.workspace import Workspace
 
 
-def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id has a verdict to stay."""
-    return docs.join(verdicts.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that are predicted toxic."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _only(docs, scored(docs, labels).where("predicted = 0"))
+    return clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the rules or the outlier test reject."""
-    return _only(docs, judged(docs).where("kept"))
+    return passed(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the least id; rows that share an id are one document."""
-    return _only(docs, duplicates(docs).where("kept")).dropDuplicates(["doc_id"])
+    """One document of each group, the one with the least id; documents without words are in no group."""
+    return deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
