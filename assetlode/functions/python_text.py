@@ -11,30 +11,60 @@ from pyspark.sql import functions as F
 
 from assetlode.schemas import ERROR_MAX
 
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://\S+")
-_QUOTED = re.compile(r"(\"[^\"]*\"|'[^']*'|`[^`]*`|\S+)")
-_PATH = re.compile(r"^(?:[A-Za-z]:[\\/]|\\\\|/|~/)")
-_HOST = re.compile(r"^(?:[a-z0-9-]+\.)+[a-z]{2,}(?::\d+)?(?:/\S*)?$", re.I)
+# Fixed values of the error contract: markers, and what is trimmed from a token before it is judged.
+URL_MARK, PATH_MARK = "<url-redacted>", "<path-redacted>"
+_TRIMMED = "'\"`()[],;:"
+
+_QUOTED = r"(?:'[^']*'|\"[^\"]*\")"
+#: White space, or a token; a quote that begins a token or follows one of =:([{, reaches to its closing one and ends it.
+_TOKEN = re.compile(rf"[ \t\n\r\f\v]+|{_QUOTED}|[^ \t\n\r\f\v](?:(?!(?<=[=:(\[{{,]){_QUOTED})[^ \t\n\r\f\v])*(?:(?<=[=:(\[{{,]){_QUOTED})?")
+_SCHEME_END = re.compile(r"[A-Za-z0-9+.-]*\Z")
+_NO_SPACE = re.compile(r"\S*")
+_ABSOLUTE = re.compile(r"/.*/|\\\\.*\\|[A-Za-z]:(?:/.*/|\\.*\\)", re.S)
+_AUTHORITY = re.compile(r"([^/?#]+)[/?#]", re.S)
 _GRAPHEME = regex.compile(r"\X")
-_SHORT = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\\": "\\\\"}
 _VLQ = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")}
 
 
-def redact_error_text(message: str, most: int = ERROR_MAX) -> str:
-    """Hides URLs, absolute paths and bare hosts in an error message, quoted or not."""
-    out = _URL.sub("<url>", message)
+def _without_urls(text: str) -> str:
+    """Each scheme with :// and what follows it up to white space becomes URL_MARK."""
+    out, at = [], 0
+    while (sep := text.find("://", at)) >= 0:
+        scheme = _SCHEME_END.search(text[at:sep])[0].lstrip("0123456789+.-")
+        end = _NO_SPACE.match(text, sep + 3).end() if scheme else sep + 3
+        out += [text[at : sep - len(scheme)], URL_MARK if scheme else "://"]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def _mark(core: str) -> str | None:
+    """What takes the place of an absolute path or of a host that something follows."""
+    if _ABSOLUTE.match(core):
+        return PATH_MARK
+    found = _AUTHORITY.match(core)
+    if not found or any(c in found[1] for c in "='\""):
+        return None
+    host = found[1].rpartition("@")[2]
+    if host.startswith("["):
+        return URL_MARK if host.find("]") > 1 else None
+    name = host[: host.rfind(":")] if host.rfind(":") > 0 else host
+    return URL_MARK if name == "localhost" or 0 < name.find(".") < len(name) - 1 else None
+
+
+def _without_places(token: str) -> str:
+    core = token.strip(_TRIMMED)
+    start = len(token) - len(token.lstrip(_TRIMMED))
+    end = start + len(core)
+    mark = _mark(core)
+    if mark is None and "=" in core:
+        value = core[core.index("=") + 1 :].lstrip(_TRIMMED)
+        start, mark = end - len(value), _mark(value)
+    return token if mark is None else token[:start] + mark + token[end:]
 
-    def token(m: re.Match) -> str:
-        word = m[0]
-        quote = word[0] if len(word) > 1 and word[0] in "\"'`" and word[-1] == word[0] else ""
-        core = word.strip("\"'`") if quote else word.rstrip(",;:)")
-        if _PATH.match(core.lstrip("(")):
-            return f"{quote}<path>{quote}" + word[len(core) :] * (not quote)
-        if "<url>" not in core and _HOST.match(core):
-            return f"{quote}<host>{quote}" + word[len(core) :] * (not quote)
-        return word
 
-    return _QUOTED.sub(token, out)[:most]
+def redact_error_text(message: str, most: int = ERROR_MAX) -> str:
+    """Hides URLs, absolute paths and hosts with a path in an error message, quoted or behind a label or not."""
+    return "".join(t if t[0] in " \t\n\r\f\v" else _without_places(t) for t in _TOKEN.findall(_without_urls(message)))[:most]
 
 
 def graphemes(text: str, most: int) -> tuple[str, int, int]:
@@ -43,19 +73,6 @@ def graphemes(text: str, most: int) -> tuple[str, int, int]:
     return "".join(found[:most]), min(most, len(found)), len(found)
 
 
-def escape_evidence(text: str) -> str:
-    """Control and bidirectional characters written out."""
-    def each(c: str) -> str:
-        if c in _SHORT:
-            return _SHORT[c]
-        n = ord(c)
-        if n < 0x20 or 0x7F <= n <= 0x9F:
-            return f"\\x{n:02X}"
-        return f"\\u{n:04X}" if 0x202A <= n <= 0x202E or 0x2066 <= n <= 0x2069 else c
-
-    return "".join(map(each, text))
-
-
 def mappings(text: str) -> list[list[list[int]]]:
     """Segments of each line of a source map's mappings, as absolute positions."""
     lines, state = [], [0, 0, 0, 0, 0]
@@ -94,13 +111,6 @@ def capped_text(texts: Column, most: int) -> Column:
     return F.pandas_udf(each, "text string, shown long, total long")(texts)
 
 
-def evidence(texts: Column) -> Column:
-    def each(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: None if t is None else escape_evidence(t))
-
-    return F.pandas_udf(each, "string")(texts)
-
-
 def decoded_mappings(texts: Column) -> Column:
     """Null where the text isn't a list of variable-length quantities."""
     def one(t: str | None) -> list | None:

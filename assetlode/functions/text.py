@@ -32,6 +32,19 @@ def strip_bidi(text: Column) -> Column:
     return F.regexp_replace(text, BIDI, "")
 
 
+#: Characters that evidence shows written out, and how; the backslash comes first.
+ESCAPES = {"\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+ESCAPES |= {chr(n): f"\\x{n:02X}" for n in (*range(0x20), *range(0x7F, 0xA0)) if chr(n) not in ESCAPES}
+ESCAPES |= {chr(n): f"\\u{n:04X}" for n in (*range(0x202A, 0x202F), *range(0x2066, 0x206A))}
+
+
+def evidence(text: Column) -> Column:
+    """Control and bidirectional characters written out."""
+    for c, shown in ESCAPES.items():
+        text = F.replace(text, F.lit(c), F.lit(shown))
+    return text
+
+
 def label(text: Column) -> Column:
     return F.substring(text, 1, LABEL_MAX)
 

@@ -97,10 +97,10 @@ def verdict_sets(spark, d):
     return a.table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("verdicts"), F.round(F.min("value") / F.max("value"), 6).alias("ratio"))
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS n_values FROM events WHERE event_id % 50 < 3 GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
+@query("SELECT user_id, count(DISTINCT event_type) AS n_values FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
 def threshold_conflicts(spark, d):
     """Names that several runs give different values."""
-    return a.table(spark, d, "events").where("event_id % 50 < 3").groupBy("user_id").agg(F.count_distinct("event_type").alias("n_values")).where("n_values > 1")
+    return a.table(spark, d, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("n_values")).where("n_values > 1")
 
 
 @query("SELECT max(value) AS max_value, max(epoch_us(ts) // 1000) AS last_at, count(*) AS n FROM events")
@@ -108,15 +108,20 @@ def running_gauges(spark, d):
     return a.cache_log(spark, d).agg(F.max("value").alias("max_value"), F.max("ts").alias("last_at"), F.count("*").alias("n"))
 
 
-_TRACE = "trace AS (SELECT event_type AS run, ts AS \"at\", max(value) AS rss FROM cache_log WHERE user_id % 3 = 0 GROUP BY ALL), marks AS (SELECT DISTINCT event_type AS run, ts AS \"at\", ts + 3600000 AS until FROM cache_log WHERE user_id % 10 = 1)"
+_TRACE = "trace AS (SELECT CAST(user_id % 20 AS VARCHAR) AS run, ts AS \"at\", max(value) AS rss FROM cache_log WHERE event_type <> 'purchase' GROUP BY ALL), marks AS (SELECT DISTINCT CAST(user_id % 20 AS VARCHAR) AS run, ts AS \"at\", ts + 3600000 AS until FROM cache_log WHERE event_type = 'purchase')"
+
+
+def _run():
+    """Twenty runs; purchases stand for the marks of a run and all other events for its samples."""
+    return (C("user_id") % 20).cast("string").alias("run")
 
 
 def _trace(spark, d):
-    return a.cache_log(spark, d).where("user_id % 3 = 0").groupBy(C("event_type").alias("run"), C("ts").alias("at")).agg(F.max("value").alias("rss"))
+    return a.cache_log(spark, d).where("event_type <> 'purchase'").groupBy(_run(), C("ts").alias("at")).agg(F.max("value").alias("rss"))
 
 
 def _marks(spark, d):
-    return a.cache_log(spark, d).where("user_id % 10 = 1").select(C("event_type").alias("run"), C("ts").alias("at"), (C("ts") + 3_600_000).alias("until")).distinct()
+    return a.cache_log(spark, d).where("event_type = 'purchase'").select(_run(), C("ts").alias("at"), (C("ts") + 3_600_000).alias("until")).distinct()
 
 
 @query(f"WITH {_TRACE} SELECT m.run, m.at, m.until, t.rss AS asof_rss FROM marks m ASOF LEFT JOIN trace t ON m.run = t.run AND m.at >= t.at")

@@ -18,10 +18,13 @@ def digests(spark, d):
     return a.table(spark, d, "documents").select("doc_id", text.sha256(C("text")).alias("sha256"), text.line_count(C("text")).alias("line_count"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-@query("SELECT doc_id, length(text) AS n_chars, text AS decoded FROM documents WHERE doc_id % 20 = 0")
+@query("SELECT doc_id, length(text) + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS n_chars, CASE WHEN doc_id % 3 = 0 THEN chr(65533) || text || chr(65533) ELSE text END AS decoded FROM documents")
 def lenient_decode(spark, d):
-    body = text.decode_utf8(C("text").cast("binary"))
-    return a.table(spark, d, "documents").where("doc_id % 20 = 0").select("doc_id", F.length(body).cast("long").alias("n_chars"), body.alias("decoded"))
+    """Bytes that no UTF-8 text has, before and after every third text."""
+    bad = F.unhex(F.lit("FF"))
+    raw = F.when(C("doc_id") % 3 == 0, F.concat(bad, C("text").cast("binary"), bad)).otherwise(C("text").cast("binary"))
+    body = text.decode_utf8(raw)
+    return a.table(spark, d, "documents").select("doc_id", F.length(body).cast("long").alias("n_chars"), body.alias("decoded"))
 
 
 @query("SELECT page_id, regexp_replace(url, '(?s)[?#].*$', '<query-redacted>') AS shown FROM pages")
@@ -52,9 +55,9 @@ def resolved_paths(spark, d):
     return a.sightings(spark, d).select(C("sources_verbatim").alias("label")).distinct().withColumn("r", r).select("label", F.array_join("r.segments", "/").alias("path"), C("r.climbs").alias("climbs"))
 
 
-@query("SELECT doc_id, regexp_replace(text || chr(7) || chr(8238), '[\\x00-\\x1f\\x7f-\\x9f]', '', 'g') AS clean FROM documents WHERE doc_id % 10 = 0")
+@query("SELECT doc_id, regexp_replace(text || chr(7) || chr(8238), '[\\x00-\\x1f\\x7f-\\x9f]', '', 'g') AS clean FROM documents")
 def stripped_controls(spark, d):
-    return a.table(spark, d, "documents").where("doc_id % 10 = 0").select("doc_id", text.strip_controls(F.concat("text", F.lit("\x07‮"))).alias("clean"))
+    return a.table(spark, d, "documents").select("doc_id", text.strip_controls(F.concat("text", F.lit("\x07‮"))).alias("clean"))
 
 
 @query("SELECT page_id, replace(url, '=', chr(8238)) = url AS untouched, url AS plain FROM pages")
@@ -64,10 +67,10 @@ def stripped_bidi(spark, d):
     return a.table(spark, d, "pages").select("page_id", (marked == C("url")).alias("untouched"), text.strip_bidi(back).alias("plain"))
 
 
-@query("""SELECT doc_id, '"' || doc_id || '","' || replace(CASE WHEN substr(c, 1, 1) IN ('=', '+', '-', '@') THEN '''' || c ELSE c END, '"', '""') || '"' || chr(13) || chr(10) AS line FROM (SELECT doc_id, regexp_replace(['=', '', '+', '@'][doc_id % 4 + 1] || substr(text, 1, 80) || '"q"', '[\\x00-\\x1f\\x7f-\\x9f]', '', 'g') AS c FROM documents)""")
+@query("""SELECT doc_id, '"' || doc_id || '","' || replace(CASE WHEN substr(c, 1, 1) IN ('=', '+', '-', '@') THEN '''' || c ELSE c END, '"', '""') || '"' || chr(13) || chr(10) AS line FROM (SELECT doc_id, regexp_replace(['=', '', '+', '@'][doc_id % 4 + 1] || text || '"q"', '[\\x00-\\x1f\\x7f-\\x9f]', '', 'g') AS c FROM documents)""")
 def csv_lines(spark, d):
     lead = F.element_at(F.array(*(F.lit(x) for x in ("=", "", "+", "@"))), (C("doc_id") % 4 + 1).cast("int"))
-    cell = F.concat(lead, F.substring("text", 1, 80), F.lit('"q"'))
+    cell = F.concat(lead, C("text"), F.lit('"q"'))
     return a.table(spark, d, "documents").select("doc_id", text.csv_row(C("doc_id"), cell).alias("line"))
 
 
@@ -111,9 +114,9 @@ def version_orders(spark, d):
     return a.table(spark, d, "documents").select("doc_id", text.version_order(v, F.lit("5.2.0")).alias("ordering"))
 
 
-@query("SELECT doc_id, replace(substr(text, 1, 60) || chr(9), chr(9), '  ') AS shown FROM documents")
+@query("SELECT doc_id, replace(replace(text, ' ', chr(9)) || chr(9), chr(9), '  ') AS shown FROM documents")
 def expanded_tabs(spark, d):
-    return a.table(spark, d, "documents").select("doc_id", F.replace(F.concat(F.substring("text", 1, 60), F.lit("\t")), F.lit("\t"), F.lit("  ")).alias("shown"))
+    return a.table(spark, d, "documents").select("doc_id", F.replace(F.concat(F.replace("text", F.lit(" "), F.lit("\t")), F.lit("\t")), F.lit("\t"), F.lit("  ")).alias("shown"))
 
 
 @query("""SELECT conv_id, bool_and(coalesce(lo >= before, lo >= 0) AND hi > lo) AS valid FROM (SELECT conv_id, turn * 10 AS lo, turn * 10 + length(text) % 12 AS hi, lag(turn * 10 + length(text) % 12) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY 1""")
@@ -126,11 +129,10 @@ def highlight_ranges(spark, d):
     return r.groupBy("conv_id").agg(F.bool_and(F.coalesce(C("lo") >= C("before"), C("lo") >= 0) & (C("hi") > C("lo"))).alias("valid"))
 
 
-@query("""SELECT doc_id, CAST(o AS INTEGER) AS "offset", md5(substr(text, CAST(o AS INTEGER) + 1, 512)) AS frame FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - 64) / 448) AS BIGINT)) * 448, 448)) AS o FROM documents WHERE strlen(text) = length(text) AND text <> '')""")
+@query("""SELECT doc_id, CAST(o AS INTEGER) AS "offset", md5(unhex(substr(body, CAST(o AS INTEGER) * 2 + 1, 1024))) AS frame FROM (SELECT doc_id, hex(encode(text)) AS body, unnest(range(0, greatest(1, CAST(ceil((strlen(text) - 64) / 448) AS BIGINT)) * 448, 448)) AS o FROM documents WHERE text <> '')""")
 def overlapping_frames(spark, d):
     """Windows of 512 bytes that share 64 with the next one."""
-    t = a.table(spark, d, "documents").where(F.octet_length("text") == F.length("text"))
-    f = t.select("doc_id", F.explode(text.frames(C("text").cast("binary"), 512, 64)).alias("f"))
+    f = a.table(spark, d, "documents").select("doc_id", F.explode(text.frames(C("text").cast("binary"), 512, 64)).alias("f"))
     return f.select("doc_id", C("f.offset").alias("offset"), F.md5("f.frame").alias("frame"))
 
 
@@ -142,18 +144,30 @@ def log_signals(spark, d):
     return counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("signal"), C(n).alias("n")) for n in LOG_SIGNALS))).alias("s")).select("s.signal", "s.n")
 
 
-@query()
+@query(r"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'cannot open ''<path-redacted> at <url-redacted> (<path-redacted>) via cdn.example.org:443' WHEN 1 THEN 'file=''<path-redacted>'' for ' || page_id
+ WHEN 2 THEN 'host <url-redacted>, 1/2 done' WHEN 3 THEN 'path="<path-redacted>" of ' || page_id || ' and /single' ELSE '[<path-redacted>] refused by ' || chr(39) || '<url-redacted>' || chr(39) END AS message FROM pages""")
 def redacted_errors(spark, d):
     """Error messages without URLs, paths and hosts (a quote-aware tokenizer, so a pandas UDF)."""
-    m = F.concat(F.lit("cannot open '/srv/"), C("url"), F.lit("' at "), C("url"), F.lit(" (C:\\x\\y) via cdn.example.org:443"))
+    i, page = C("page_id") % 5, C("page_id").cast("string")
+    bare = F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/x"))
+    m = (
+        F.when(i == 0, F.concat(F.lit("cannot open '/srv/"), C("url"), F.lit("' at "), C("url"), F.lit(" (C:\\x\\y) via cdn.example.org:443")))
+        .when(i == 1, F.concat(F.lit("file='/var/my data/x.js' for "), page)).when(i == 2, F.concat(F.lit("host "), bare, F.lit(", 1/2 done")))
+        .when(i == 3, F.concat(F.lit('path="\\\\srv\\share" of '), page, F.lit(" and /single"))).otherwise("[/etc/hosts] refused by 'localhost:80/x'")
+    )
     return a.table(spark, d, "pages").select("page_id", python_text.redact_error(m).alias("message"))
 
 
-@query()
+@query("SELECT doc_id, left_grapheme(text, 256) AS text, least(256, length_grapheme(text)) AS shown, length_grapheme(text) AS total FROM documents")
 def capped_graphemes(spark, d):
     return a.table(spark, d, "documents").select("doc_id", python_text.capped_text(C("text"), 256).alias("c")).select("doc_id", "c.text", "c.shown", "c.total")
 
 
-@query()
+_SHOWN = "text"
+for _c, _s in text.ESCAPES.items():
+    _SHOWN = f"replace({_SHOWN}, chr({ord(_c)}), '{_s}')"
+
+
+@query(f"SELECT doc_id, {_SHOWN} AS shown FROM documents")
 def escaped_evidence(spark, d):
-    return a.table(spark, d, "documents").select("doc_id", python_text.evidence(C("text")).alias("shown"))
+    return a.table(spark, d, "documents").select("doc_id", text.evidence(C("text")).alias("shown"))

@@ -94,7 +94,7 @@ def cache_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes of settings in order; project '' is global."""
-    e = table(spark, sf_dir, "events").where("event_id % 4 = 0")
+    e = table(spark, sf_dir, "events")
     return e.select(F.element_at(F.array(F.lit(""), F.lit("p0"), F.lit("p1")), (F.col("user_id") % 3 + 1).cast("int")).alias("project_id"), F.concat(F.lit("key"), (F.col("user_id") % 5).cast("string")).alias("key"), F.col("event_id").cast("string").alias("value"), F.col("event_id").alias("seq"))
 
 
@@ -131,7 +131,7 @@ SQL = {
     "sources": f"""SELECT project_id, sha256(content) AS source_sha256, min({T0} + conv_id * 1000) AS first_seen_at, arg_max(strlen(content), conv_id * 100 + source_index) AS byte_len,
         arg_max(1 + length(content) - length(replace(content, chr(10), '')), conv_id * 100 + source_index) AS line_count FROM source_rows GROUP BY ALL""",
     "cache_log": "SELECT event_id AS id, epoch_us(ts) // 1000 AS ts, 'h' || (user_id % 20) || '-' || event_type AS sha256, event_type, user_id, value FROM events",
-    "settings": "SELECT ['', 'p0', 'p1'][user_id % 3 + 1] AS project_id, 'key' || (user_id % 5) AS key, CAST(event_id AS VARCHAR) AS value, event_id AS seq FROM events WHERE event_id % 4 = 0",
+    "settings": "SELECT ['', 'p0', 'p1'][user_id % 3 + 1] AS project_id, 'key' || (user_id % 5) AS key, CAST(event_id AS VARCHAR) AS value, event_id AS seq FROM events",
     "audit": "SELECT 'p' || (user_id % 3) AS project_id, 'e' || (event_id % 4000) AS event_id, epoch_us(ts) // 1000 AS \"at\", event_type AS kind, CAST(user_id AS VARCHAR) AS subject, event_id AS seq FROM events",
     "scans": "SELECT 'p' || (o_custkey % 3) AS project_id, o_orderkey AS scan_id, ['running', 'suspended', 'completed', 'discarded', 'completed'][o_orderkey % 5 + 1] AS state, epoch_us(o_orderdate) // 1000 AS started_at, o_custkey % 7 AS epoch FROM orders",
 }
