@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from assetlode.plans import analytics, ingest, mutations, reads, retention, sourcemaps, texts  # noqa: F401
+    from assetlode.plans import analytics, ingest, mutations, reads, retention, scans, sourcemaps, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -152,6 +152,7 @@ def oracle(body: str) -> str:
     need(body)
     views = [f"{name} AS ({SQL[name]})" for name in SQL if name in needed]
     body = body.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {', '.join(views)}, {body[5:]}" if views else body
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{', '.join(views)}, {body[len(start):]}" if views else body
     return f"WITH {', '.join(views)} {body}" if views else body
