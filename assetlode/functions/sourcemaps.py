@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from assetlode.schemas import MAP_ROW_BUDGET, MAX_MAP_BYTES
@@ -42,15 +42,51 @@ def without_xssi(json: Column) -> Column:
     return F.when(json.startswith(")]}"), F.regexp_replace(json, r"^[^\n]*\n?", "")).otherwise(json)
 
 
+#: Nesting that the parser bears; a deeper text is refused as too deep, whatever else is wrong with it.
+MAX_JSON_DEPTH = 710
+
+
+def allow_duplicate_keys(spark: SparkSession) -> None:
+    """Of keys that an object repeats, the last one counts; parsing reads this setting when it runs."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def nesting(json: Column) -> Column:
+    """How deep brackets outside strings nest."""
+    signs = F.regexp_replace(F.regexp_replace(json, r'(?s)"(?:\\.|[^"\\])*+(?:"|$)', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        depth = acc["depth"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(depth.alias("depth"), F.greatest(acc["most"], depth).alias("most"))
+
+    return F.aggregate(F.filter(F.split(signs, ""), lambda c: c != ""), start, step)["most"]
+
+
+def parse_refusal(json: Column, map_: Column) -> Column:
+    """too_deep or malformed_json for a text that gave no map."""
+    return F.when(map_.isNull(), F.when(nesting(json) > MAX_JSON_DEPTH, "too_deep").otherwise("malformed_json"))
+
+
+def map_digest(map_: Column) -> Column:
+    """SHA-256 of the map as JSON text written anew, so that spacing doesn't count."""
+    return F.sha2(F.to_json(map_).cast("binary"), 256)
+
+
+def room(recorded: Column, budget: int = MAP_ROW_BUDGET) -> Column:
+    """Rows that an artifact may still get beside those recorded for it."""
+    return F.greatest(F.lit(0), F.lit(budget) - F.coalesce(recorded, F.lit(0)))
+
+
 def kind_of(map_: Column) -> Column:
-    """not_a_map, nested_sections, too_many_sources or malformed_json; null for a map that is read."""
+    """not_a_map, nested_sections or too_many_sources; null for a map that is read."""
     is_object = F.schema_of_variant(map_).startswith("OBJECT")
     sources = F.try_variant_get(map_, "$.sources", "array<variant>")
     sections = F.try_variant_get(map_, "$.sections", "array<variant>")
     inner = F.transform(sections, lambda s: F.try_variant_get(s, "$.map.sources", "array<variant>"))
     declared = F.coalesce(F.size(sources), F.lit(0)) + F.coalesce(F.aggregate(inner, F.lit(0), lambda n, s: n + F.coalesce(F.when(s.isNotNull(), F.size(s)), F.lit(0))), F.lit(0))
     nested = F.coalesce(F.exists(sections, lambda s: F.try_variant_get(s, "$.map.sections", "variant").isNotNull()), F.lit(False))
-    return F.when(map_.isNull(), "malformed_json").when(~is_object, "not_a_map").when(nested, "nested_sections").when(declared * 2 > MAP_ROW_BUDGET, "too_many_sources")
+    return F.when(~is_object, "not_a_map").when(nested, "nested_sections").when(declared * 2 > MAP_ROW_BUDGET, "too_many_sources")
 
 
 def entries(map_: Column) -> Column:
@@ -69,3 +105,8 @@ def entries(map_: Column) -> Column:
 
 def derived_refusal(content: Column, depth: Column, most: int = MAX_MAP_BYTES) -> Column:
     return F.when(content.isNull() | (content == ""), "empty").when(F.octet_length(content) > most, "too_large").when(depth >= 1, "depth_exceeded")
+
+
+def derived_outcome(met: Column, content: Column, digest: Column) -> Column:
+    """unavailable if the map couldn't be met again, gone if the source isn't in it, changed if its digest differs, else content."""
+    return F.when(met.isNull(), "unavailable").when(content.isNull() | (content == "") | digest.isNull(), "gone").when(F.sha2(content.cast("binary"), 256) != digest, "changed").otherwise("content")

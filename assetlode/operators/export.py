@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetlode.functions import text, urls
+from assetlode.operators.ranks import running
 from assetlode.schemas import EXPORT_CHUNK
 
 COLUMNS: dict[str, dict[str, object]] = {
@@ -51,17 +52,18 @@ def json_document(lines: list[str], floor: str | None = None) -> str:
 
 
 def chunked(rows: DataFrame, key: str, tie: str, size: int = EXPORT_CHUNK) -> DataFrame:
-    """Rows with the number of their chunk in (key, tie) order, newest first.
-
-    The rank within all rows is that within a range partition plus the rows of the
-    partitions before it, so no task holds more than its range.
-    """
-    ordered = rows.repartitionByRange(F.col(key).desc(), F.col(tie).desc()).withColumn("_p", F.spark_partition_id())
-    ranked = ordered.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(F.col(key).desc(), F.col(tie).desc())))
-    counts = ordered.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
-    base = counts.select("_p", before.alias("_base"))
-    return ranked.join(base, "_p").withColumn("chunk", F.floor((F.col("_base") + F.col("_r") - 1) / size)).drop("_p", "_r", "_base")
+    """Rows with the number of their chunk in (key, tie) order, newest first."""
+    ranked = running(rows, [], [F.col(key).desc(), F.col(tie).desc()], name="_r")
+    return ranked.withColumn("chunk", F.floor((F.col("_r") - 1) / size)).drop("_r")
+
+
+def audited(chunks: DataFrame, table: str, mode: str, kind: str) -> DataFrame:
+    """A row a chunk: chunk, n, last, and on the last one the detail of the audit row that the export leaves."""
+    per = chunks.groupBy("chunk").agg(F.count("*").alias("n"))
+    total = per.agg(F.max("chunk").alias("_last"), F.sum("n").alias("_all"))  # one row
+    detail = F.concat_ws(" ", F.lit(table), F.lit(mode), F.lit(kind), F.concat(F.col("_all").cast("string"), F.lit(" rows")))
+    last = F.col("chunk") == F.col("_last")
+    return per.crossJoin(F.broadcast(total)).select("chunk", "n", last.alias("last"), F.when(last, detail).alias("detail"))
 
 
 def write_csv(rows: DataFrame, table: str, path: str, redacted: bool = True) -> None:
