@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_OPEN: list[Workspace] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Where the setting is absent (tests in local mode), a temporary folder is
-    chosen once for the session.
+    Where the setting is absent in local mode (tests), a temporary folder is chosen once
+    for the session; on a cluster that is an error, as executors don't share such a folder.
     """
     at = spark.conf.get(CHECKPOINT_DIR, None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         at = spark.conf.get("spark.assetlode.localDir", None)
         if not at:
             at = "file://" + tempfile.mkdtemp(prefix="assetlode-")
@@ -25,12 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Removes the folders of this process's jobs; their results can't be read any more."""
+    while _OPEN:
+        ws = _OPEN.pop()
+        if ws.spark.sparkContext is spark.sparkContext:
+            ws.drop()
+
+
+def _at_exit() -> None:
+    from pyspark import SparkContext
+
+    spark = SparkSession.getActiveSession()
+    if spark is not None and SparkContext._active_spark_context is not None:
+        with contextlib.suppress(Exception):  # the cluster may be gone by then
+            clean_up(spark)
+
+
 class Workspace:
-    """A folder of Parquet tables for one run of a job; each save cuts the lineage."""
+    """A folder of Parquet tables for one run of a job; each save cuts the lineage.
+
+    Results are read from it lazily, so it stays until the process ends or clean_up() is called.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if not _OPEN:
+            atexit.unregister(_at_exit)
+            atexit.register(_at_exit)  # after Spark's own, so it runs before it
+        _OPEN.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
