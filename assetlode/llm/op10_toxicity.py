@@ -55,14 +55,14 @@ from assetlode.llm.units import TwoAges
 from assetlode.workspace import Workspace
 
 #: Bound of the labelled rows that the classifier is fitted on.
-SAMPLE = 4_000
+SAMPLE = 3_000
 #: A term has a relevance of its own if so many sampled rows hold it and its chi-squared statistic reaches so much.
 LEAST_ROWS, LEAST_CHI2, REST = 3, 8.0, 0.05
 K, SHARPNESS, SMOOTHING, PRIOR, THRESHOLD = 16, 2.0, 0.1, 0.05, 0.7
 #: Terms whose lists are cut into blocks, examples to a block, and blocks that a query opens first.
 HEAD, BLOCK, FIRST = 1024, 64, 4
 #: Terms from the beginning of a word: their lengths.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4,)
 #: Pieces that a worker remembers, and the longest of them.
 PIECES, PIECE_CHARS = 200_000, 48
 
@@ -82,11 +82,11 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
+def sample(labels: DataFrame, size: int | None = None) -> DataFrame:
     """doc_id and toxic of at most size rows that may be learned from."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     once = rows.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    return once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size or SAMPLE)
 
 
 def example_terms(docs: DataFrame, few: DataFrame) -> pa.Table:
@@ -200,9 +200,10 @@ class Index:
                 held[2] = min(held[2], int(examples.ids[x]))
         vectors = []
         for (t, c), held in merged.items():
-            ids = np.frombuffer(t, np.int64)
-            w = self.weights(ids, np.frombuffer(c, np.int64))
+            ids = np.frombuffer(t, examples.term.dtype)
+            w = self.weights(ids, np.frombuffer(c, examples.count.dtype))
             vectors.append((ids[np.argsort(-w, kind="stable")[:4]].tolist(), held[2], ids, w, held))
+        merged.clear()
         vectors.sort(key=lambda v: v[:2])  # neighbours share their heaviest terms
         self.ids = [v[1] for v in vectors]
         self.n = np.array([v[4][0] for v in vectors], np.float64)
@@ -343,8 +344,8 @@ def fit(ws: Workspace, docs: DataFrame, labels: DataFrame) -> tuple[list[str], I
     flat = found.column("terms").combine_chunks().flatten().dictionary_encode()
     vocabulary = flat.dictionary.to_pylist()
     sizes = found.column("terms").combine_chunks().value_lengths().to_numpy()
-    count = found.column("counts").combine_chunks().flatten().to_numpy().astype(np.int64)
-    examples = Examples(found.column("doc_id").to_numpy(), found.column("toxic").to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat.indices.to_numpy().astype(np.int64), count)
+    count = found.column("counts").combine_chunks().flatten().to_numpy()
+    examples = Examples(found.column("doc_id").to_numpy(), found.column("toxic").to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat.indices.to_numpy(), count)
     total, df = document_frequencies(docs, vocabulary)
     return vocabulary, trained(examples, np.log((1 + total) / (1 + df)) + 1)
 

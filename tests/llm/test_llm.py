@@ -469,7 +469,7 @@ def toxicity_by_rule(texts, labels, sampled):
     for t in texts:
         bag = {}
         for w in re.findall(r"\w+", (t or "").lower()):
-            for term in [w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)]:
+            for term in [w, *(w[:n] + "*" for n in (4,) if len(w) > n)]:
                 bag[term] = bag.get(term, 0) + 1
         bags.append(bag)
     n = len(texts)
