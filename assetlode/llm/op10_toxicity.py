@@ -55,7 +55,7 @@ from assetlode.llm.units import TwoAges
 from assetlode.workspace import Workspace
 
 #: Bound of the labelled rows that the classifier is fitted on.
-SAMPLE = 3_000
+SAMPLE = 2_500
 #: A term has a relevance of its own if so many sampled rows hold it and its chi-squared statistic reaches so much.
 LEAST_ROWS, LEAST_CHI2, REST = 3, 8.0, 0.05
 K, SHARPNESS, SMOOTHING, PRIOR, THRESHOLD = 16, 2.0, 0.1, 0.05, 0.7
@@ -104,11 +104,26 @@ class Vectors:
     """Known terms of texts, by number, with their frequencies."""
 
     def __init__(self, vocabulary: list[str]) -> None:
-        self._ids = {t: i for i, t in enumerate(vocabulary)}
+        self._words = {t: i for i, t in enumerate(vocabulary) if t[-1] != "*"}
+        self._begins = {t[:-1]: i for i, t in enumerate(vocabulary) if t[-1] == "*"}
         self._pieces = TwoAges(self._of, PIECES, PIECE_CHARS)
 
     def _of(self, piece: str) -> list[int]:
-        return [i for t in terms(piece) if (i := self._ids.get(t)) is not None]
+        """As terms() by number."""
+        piece, out = piece.lower(), []
+        if piece.isalpha():
+            found = (piece,)
+        elif (bare := piece[:-1]).isalpha() and piece[-1] in ".,;:!?":
+            found = (bare,)
+        else:
+            found = _WORD.findall(piece)
+        for word in found:
+            if (i := self._words.get(word)) is not None:
+                out.append(i)
+            for n in PREFIXES:
+                if len(word) > n and (i := self._begins.get(word[:n])) is not None:
+                    out.append(i)
+        return out
 
     def present(self, text: str) -> list[int]:
         """Numbers, in any order."""
