@@ -125,10 +125,6 @@ class Vectors:
                     out.append(i)
         return out
 
-    def present(self, text: str) -> list[int]:
-        """Numbers, in any order."""
-        return list(set().union(*map(self._pieces.__getitem__, set(text.split()))))
-
     def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers in rising order, frequencies."""
         pieces = Counter(text.split())
@@ -143,23 +139,35 @@ class Vectors:
         return ids[first], np.add.reduceat(often[order], first)
 
 
-def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, np.ndarray]:
+def counted(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """doc_id, held_out, the numbers of the known terms in rising order and their frequencies."""
+    shared, made = docs.sparkSession.sparkContext.broadcast(vocabulary), []  # terms of SAMPLE texts
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not made:
+            made.append(Vectors(shared.value))
+        rows = [made[0].count(t) for t in columns(batch)[1]]
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])]), pa.int32())
+        flat = [pa.array(np.concatenate([r[i] for r in rows]) if rows else np.zeros(0), pa.int32()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.ListArray.from_arrays(ends, f) for f in flat)], ["doc_id", "held_out", "terms", "counts"])
+
+    return map_batches(texts_of(docs).withColumn("held_out", held_out()), each, "doc_id long, held_out boolean, terms array<int>, counts array<int>")
+
+
+def document_frequencies(vectors: DataFrame, n_terms: int) -> tuple[int, np.ndarray]:
     """Documents, and documents with each known term, over all of them."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # terms of SAMPLE texts
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = Vectors(shared.value)
-        n, rows = np.zeros(len(shared.value), np.int64), 0
+        n, rows = np.zeros(n_terms, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for text in columns(batch)[1]:
-                n[vectors.present(text)] += 1
+            n += np.bincount(batch.column(0).flatten().to_numpy(), minlength=n_terms)[:n_terms]
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at]), pa.int32()), pa.array(np.concatenate([[rows], n[at]]), pa.int64())], ["term", "n"])
 
-    sums = map_stream(texts_of(docs), each, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each known term at most
+    sums = map_stream(vectors.select("terms"), each, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each known term at most
     term, n = sums.column("term").to_numpy(), sums.column("n").to_numpy()
-    df = np.zeros(len(vocabulary), np.int64)
+    df = np.zeros(n_terms, np.int64)
     df[term[term >= 0]] = n[term >= 0]
     return int(n[term < 0].sum()), df
 
@@ -353,46 +361,47 @@ def trained(examples: Examples, idf: np.ndarray) -> Index:
     return index
 
 
-def fit(ws: Workspace, docs: DataFrame, labels: DataFrame) -> tuple[list[str], Index]:
-    """The known terms and the index of the examples."""
+def fit(ws: Workspace, docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Index, list[str]]:
+    """The vectors of all documents, as a table of the workspace, the index of the examples and the known terms."""
     found = example_terms(docs, ws.save(sample(labels), "sample")).combine_chunks()  # SAMPLE rows at most
     flat = found.column("terms").combine_chunks().flatten().dictionary_encode()
     vocabulary = flat.dictionary.to_pylist()
     sizes = found.column("terms").combine_chunks().value_lengths().to_numpy()
     count = found.column("counts").combine_chunks().flatten().to_numpy()
     examples = Examples(found.column("doc_id").to_numpy(), found.column("toxic").to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat.indices.to_numpy(), count)
-    total, df = document_frequencies(docs, vocabulary)
-    return vocabulary, trained(examples, np.log((1 + total) / (1 + df)) + 1)
+    vectors = ws.save(counted(docs, vocabulary), "vectors")
+    total, df = document_frequencies(vectors, len(vocabulary))
+    return vectors, trained(examples, np.log((1 + total) / (1 + df)) + 1), vocabulary
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, and the nearest examples by doc_id as evidence."""
-    ws = Workspace(docs.sparkSession, "toxicity")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(ws, docs, labels))  # terms and vectors of SAMPLE texts
-    ws.drop()
-    made: list[Vectors] = []
+    vectors, model, _ = fit(Workspace(docs.sparkSession, "toxicity"), docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # vectors of SAMPLE texts
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vocabulary, index = shared.value
-        if not made:
-            made.append(Vectors(vocabulary))
-        nearest = index.nearest([made[0].count(t) for t in columns(batch)[1]]) if batch.num_rows else []
+        index = shared.value
+        lists = [batch.column(c) for c in ("terms", "counts")]
+        ends = lists[0].offsets.to_numpy()
+        terms_, counts = (x.values.to_numpy() for x in lists)
+        shift = lists[1].offsets.to_numpy()[0] - ends[0]
+        nearest = index.nearest([(terms_[lo:hi], counts[lo + shift : hi + shift]) for lo, hi in zip(ends, ends[1:])]) if batch.num_rows else []
         s = np.array([index.score(found) for found in nearest], np.float64)
         evidence = [",".join(f"{e.example}:{e.similarity:.4f}:{e.n_toxic}/{e.n}" for e in index.evidence(found[:3])) for found in nearest]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(evidence, pa.string())], ["doc_id", "held_out", "score", "predicted", "evidence"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(evidence, pa.string())], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    return map_batches(texts_of(docs).withColumn("held_out", held_out()), each, "doc_id long, held_out boolean, score double, predicted int, evidence string")
+    return map_batches(vectors, each, "doc_id long, held_out boolean, score double, predicted int, evidence string")
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with all their columns; the verdict is each row's own."""
     ws = Workspace(docs.sparkSession, "toxicity")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(ws, docs, labels))  # terms and vectors of SAMPLE texts
+    shared = docs.sparkSession.sparkContext.broadcast(fit(ws, docs, labels)[1:])  # vectors and terms of SAMPLE texts
     ws.drop()
     at, made = docs.columns.index("text"), []
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vocabulary, index = shared.value
+        index, vocabulary = shared.value
         if not made:
             made.append(Vectors(vocabulary))
         nearest = index.nearest([made[0].count(t or "") for t in batch.column(at).to_pylist()]) if batch.num_rows else []
