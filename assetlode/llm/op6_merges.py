@@ -1,27 +1,17 @@
-"""Byte-level BPE by replaying the merges over the distinct words of the corpus.
-
-The tokenizer's split pattern cuts texts into words. It always starts a word at a space
-between two other characters that aren't white space, so each partition gives its
-distinct pieces between such spaces (and the words of texts that have other spaces),
-dealt by their first letters to BUCKETS buckets. A bucket's task cuts them into words and
-replays the merges over all its new words at once; the ids go back to a table for each
-partition in the shared folder. Then the texts are read again, and each partition looks
-its pieces up in its own table. A word is replayed once for the corpus (twice, if it
-stands in pieces of different first letters).
-
-A replay lays the words end to end as one array of token ids, linked both ways. An
-inverted index leads from the rank of a mergeable pair to the places where it stands;
-ranks are taken in rising order, every place of a rank is merged from left to right, and
-only the two neighbours of a merged place are looked up again. A word in which a merge
-makes a pair of lower rank than the one in hand (vocabularies allow it) puts off its
-remaining places until that pair is done, so each word gets exactly the merges that it
-would get alone.
-
-Pieces of more than LONG characters aren't shared between partitions: their words are
-replayed where they stand and forgotten. A piece that a partition's table lacks is
-replayed too, should partitions be dealt otherwise on the second reading. Memory: the
-pieces of a partition, at most FLUSH characters of them at once on the first reading, and
-of a bucket.
+"""Byte-level BPE by replaying the merges over all new words of a block at once.
+
+Texts are cut into pieces by the tokenizer's split pattern, and the distinct
+pieces not met before are laid end to end as one array of token ids, linked both
+ways. An inverted index leads from the rank of a mergeable pair to the places
+where it stands; ranks are taken in rising order, every place of a rank is merged
+from left to right, and only the two neighbours of a merged place are looked up
+again. A word in which a merge makes a pair of lower rank than the one in hand
+(vocabularies allow it) puts off its remaining places until that pair is done,
+so each word gets exactly the merges that it would get alone.
+
+Memory: a block is one Arrow batch; the tables of words and pieces are bounded in
+entries, forget what was not used of late and never keep one of more than LONG
+characters, so a text without spaces doesn't fill them.
 
 Defined results: a null or empty text has no ids; repeated rows are encoded row
 by row; a null id stays null; an empty table gives no rows; other columns are
@@ -32,27 +22,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable
 from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
-import pyarrow.dataset
-import pyarrow.fs
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from assetlode.llm.batches import columns, documents, map_stream, texts_of
+from assetlode.llm.batches import columns, documents, map_batches, texts_of
 from assetlode.llm.units import PATTERN, TwoAges, cut, open_ended, words_of
-from assetlode.workspace import Workspace
 
-#: Pieces and words beyond the tables that a worker remembers, and the longest that is shared or remembered.
-MET, LONG = 100_000, 64
-BUCKETS, FLUSH = 256, 64_000_000
+UNITS, WORDS, LONG = 600_000, 800_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -148,27 +130,17 @@ class Merges:
         return out
 
 
-class _Known(dict):
-    """A partition's table; what it lacks comes from fill and isn't kept here."""
-
-    def __init__(self, fill: Callable[[str], tuple[int, ...] | None]) -> None:
-        super().__init__()
-        self.fill = fill
-
-    def __missing__(self, key: str) -> tuple[int, ...] | None:
-        return self.fill(key)
-
-
 class Codec:
-    """Encodes texts and decodes ids; pieces and words hold the tables of the partition in hand."""
+    """Encodes blocks of texts and decodes ids; keeps the ids of words between blocks."""
 
     _shared: dict[str, Codec] = {}
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.merges = Merges(ranks)
-        self.tokens = self.merges.tokens
+        self._merges = Merges(ranks)
+        self.tokens = self._merges.tokens
         self.names = list(map(str, range(len(self.tokens))))
-        self.words, self.pieces = _Known(TwoAges(lambda word: self.merges.replay([word.encode()])[0], MET, LONG).__getitem__), _Known(TwoAges(self._piece, MET, LONG).__getitem__)
+        self._words = TwoAges(lambda word: self._merges.replay([word.encode()])[0], WORDS, LONG)
+        self._units = TwoAges(self._unit, UNITS, LONG)
 
     @classmethod
     def shared(cls, path: str) -> Codec:
@@ -176,10 +148,27 @@ class Codec:
             cls._shared[path] = cls(read_ranks(path))
         return cls._shared[path]
 
-    def _piece(self, piece: str) -> tuple[int, ...] | None:
-        return None if open_ended(piece) else tuple(chain.from_iterable(map(self.words.__getitem__, words_of(piece))))
+    def _unit(self, piece: str) -> tuple[int, ...] | None:
+        return None if open_ended(piece) else tuple(chain.from_iterable(map(self._words.__getitem__, words_of(piece))))
+
+    def _split(self, text: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self._words.__getitem__, PATTERN.findall(text))))
+
+    def _learn(self, texts: Iterable[str]) -> None:
+        """Replays the merges over the words that the table lacks, all at once."""
+        units: set[str] = set()
+        for text in texts:
+            units.update(text.split(" "))
+        cut_up = {u: words_of(u) for u in units if u not in self._units and u not in self._units.old and not open_ended(u)}
+        words = [w for w in {w for ws in cut_up.values() for w in ws} if len(w) <= LONG and w not in self._words and w not in self._words.old]
+        for word, ids in zip(words, self._merges.replay([w.encode() for w in words]), strict=True):
+            self._words[word] = ids
+        for unit, ws in cut_up.items():
+            if len(unit) <= LONG:
+                self._units.keep(unit, self._words[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(self._words.__getitem__, ws))))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        self._learn(texts)
         return [self._encode(t) for t in texts]
 
     def _encode(self, text: str) -> list[int]:
@@ -188,139 +177,48 @@ class Codec:
         first, rest = cut(text)
         if rest and not open_ended(first):
             try:
-                return list(chain(chain.from_iterable(map(self.words.__getitem__, PATTERN.findall(first))), chain.from_iterable(map(self.pieces.__getitem__, rest))))
+                return [*self._split(first), *chain.from_iterable(map(self._units.__getitem__, rest))]
             except TypeError:  # a piece that doesn't stand alone
                 pass
-        return list(chain.from_iterable(map(self.words.__getitem__, PATTERN.findall(text))))
+        return list(self._split(text))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def _task() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId()
-
-
-_LETTERS = re.compile(r"[^\W\d_]*")
-
-
-def _bucket(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(_LETTERS.match(text.lstrip())[0]) % BUCKETS
-
-
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct pieces and words of a partition, a row for each bucket."""
-    part, held, size = _task(), (set(), set()), 0
-
-    def rows() -> pa.RecordBatch:
-        buckets: dict[int, tuple[list[str], list[str]]] = {}
-        for which in (0, 1):
-            for text in held[which]:
-                if len(text) <= LONG:
-                    buckets.setdefault(_bucket(text), ([], []))[which].append(text)
-        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([part] * len(buckets), pa.int64()), *(pa.array([b[i] for b in buckets.values()], pa.list_(pa.string())) for i in (0, 1))], ["bucket", "part", "pieces", "words"])
-
-    for batch in batches:
-        for text in columns(batch)[1]:
-            first, rest = cut(text)
-            pieces = set(rest) - held[0]
-            new = set(PATTERN.findall(first)) if rest and not open_ended(first) and not any(map(open_ended, pieces)) else None
-            if new is None:
-                pieces, new = set(), set(PATTERN.findall(text))
-            new -= held[1]
-            held[0].update(pieces)
-            held[1].update(new)
-            size += sum(map(len, pieces)) + sum(map(len, new))
-        if size > FLUSH:
-            yield rows()
-            held, size = (set(), set()), 0
-    if size:
-        yield rows()
-
-
-def tables(ws: Workspace, texts: DataFrame, ranks: str, name: str = "pieces") -> str:
-    """Writes, for each partition of texts, its pieces and words with their ids; gives the folder."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, bucket, done = Codec.shared(ranks).merges, None, {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            buckets, pieces, words = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            if buckets[0] != bucket:
-                done = {}
-            cuts = {p: words_of(p) for ps in pieces for p in ps}
-            fresh = {w for ws in words for w in ws}.union(*cuts.values()) - done.keys()
-            done.update(zip(fresh, (np.array(ids, "<u4").tobytes() for ids in merges.replay([w.encode() for w in fresh])), strict=True))
-            ids = [[b"".join(map(done.__getitem__, cuts[p])) for p in ps] for ps in pieces], [[done[w] for w in ws] for ws in words]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), *(pa.array(i, pa.list_(pa.binary())) for i in ids)], ["part", "pieces", "words", "piece_ids", "word_ids"])
-            bucket = buckets[-1]
-            if bucket != buckets[0]:
-                done = {}
-
-    found = map_stream(texts, _own, "bucket long, part long, pieces array<string>, words array<string>").repartition("bucket").sortWithinPartitions("bucket")
-    done = map_stream(found, each, "part long, pieces array<string>, words array<string>, piece_ids array<binary>, word_ids array<binary>")
-    done.repartition("part").write.partitionBy("part").parquet(ws.path(name))
-    return ws.path(name)
-
-
-def _encoding(folder: str, ranks: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Codec, pa.Array, list[list[int]]]]:
-    """Encodes the batches of a partition with its table, if there is one."""
-    codec = Codec.shared(ranks)
-    fs, path = pyarrow.fs.FileSystem.from_uri(f"{folder}/part={_task()}")
-    try:
-        if fs.get_file_info(path).type == pyarrow.fs.FileType.Directory:
-            for batch in pyarrow.dataset.dataset(path, filesystem=fs, format="parquet").to_batches(columns=["pieces", "words", "piece_ids", "word_ids"], batch_size=16):
-                for known, texts, ids in ((codec.pieces, 0, 2), (codec.words, 1, 3)):
-                    flat = batch.column(ids).flatten()
-                    tokens, ends = np.frombuffer(b"".join(flat.to_pylist()), "<u4").tolist(), (np.cumsum(pc.binary_length(flat).to_numpy()) // 4).tolist()
-                    known.update(zip(batch.column(texts).flatten().to_pylist(), (tuple(tokens[lo:hi]) for lo, hi in zip([0, *ends], ends)), strict=True))
-        for batch in batches:
-            ids, texts = columns(batch)
-            yield codec, ids, codec.encode(texts)
-    finally:
-        codec.pieces.clear()
-        codec.words.clear()
-
-
 def encoded(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and its ids as an array."""
-    texts = texts_of(docs, id_col, text_col)
-    folder = tables(Workspace(docs.sparkSession, "merges"), texts, ranks)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, found in _encoding(folder, ranks, batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, texts = columns(batch)
+        return pa.RecordBatch.from_arrays([ids, pa.array(Codec.shared(ranks).encode(texts), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return map_stream(texts, each, "doc_id long, ids array<int>")
+    return map_batches(texts_of(docs, id_col, text_col), each, "doc_id long, ids array<int>")
 
 
 def decoded(tokens: DataFrame, ranks: str) -> DataFrame:
     """doc_id and the text of its ids; bytes that are no UTF-8 become U+FFFD."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = Codec.shared(ranks)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.decode(i or []).decode(errors="replace") for i in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.decode(i or []).decode(errors="replace") for i in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return map_stream(tokens.select("doc_id", "ids"), each, "doc_id long, text string")
+    return map_batches(tokens.select("doc_id", "ids"), each, "doc_id long, text string")
 
 
 def digest(docs: DataFrame, ranks: str) -> DataFrame:
-    texts = texts_of(docs)
-    folder = tables(Workspace(docs.sparkSession, "merges"), texts, ranks)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codec, ids, found in _encoding(folder, ranks, batches):
-            names = codec.names
-            n = [len(tokens) for tokens in found]
-            shas = [hashlib.sha256(" ".join(map(names.__getitem__, tokens)).encode()).hexdigest() for tokens in found]
-            back = [hashlib.sha256(codec.decode(tokens)).hexdigest() for tokens in found]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_stream(texts, each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, texts = columns(batch)
+        codec = Codec.shared(ranks)
+        names = codec.names
+        n, shas, back = [], [], []
+        for tokens in codec.encode(texts):
+            n.append(len(tokens))
+            shas.append(hashlib.sha256(" ".join(map(names.__getitem__, tokens)).encode()).hexdigest())
+            back.append(hashlib.sha256(codec.decode(tokens)).hexdigest())
+        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_batches(texts_of(docs), each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
