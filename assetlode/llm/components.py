@@ -50,9 +50,8 @@ def components(ws: Workspace, edges: DataFrame, name: str = "components") -> Dat
     state, step = _state(now), 0
     while True:
         step += 1
-        starred = ws.save(large_star(now, state[0]), f"{name}-{step}-large")
-        then = ws.save(small_star(starred, state[0]), f"{name}-{step}")
-        ws.drop(f"{name}-{step - 1}", f"{name}-{step}-large")
+        then = ws.save(small_star(large_star(now, state[0]), state[0]), f"{name}-{step}")
+        ws.drop(f"{name}-{step - 1}")
         before, state, now = state, _state(then), then
         if state == before:
             break
