@@ -93,17 +93,17 @@ def test_map_kinds_and_entries(spark):
         ('{"sources":["a",null,"c",3],"sourcesContent":["x",null,3]}',), ("[1]",), ("{",), ('{"sections":[{"map":{"sources":["a"],"sourcesContent":["1"]}},{"map":null},{"map":{"sources":["b"],"sourcesContent":["2"]}}]}',),
         ('{"sections":[{"map":{"sections":[]}}]}',), ('{"sources":[' + ",".join(["0"] * 1025) + "]}",), (")]}'\n{\"sources\":[]}",),
     ], "j string")
-    got = rows.withColumn("m", F.try_parse_json(sourcemaps.without_xssi(F.col("j")))).select(sourcemaps.kind_of(F.col("m")).alias("k"), sourcemaps.entries(F.col("m")).alias("e")).collect()
+    got = rows.withColumn("m", F.try_parse_json(sourcemaps.without_xssi(F.col("j")))).select(F.coalesce(sourcemaps.parse_refusal(F.col("j"), F.col("m")), sourcemaps.kind_of(F.col("m"))).alias("k"), sourcemaps.entries(F.col("m")).alias("e")).collect()
     assert [r.k for r in got] == [None, "not_a_map", "malformed_json", None, "nested_sections", "too_many_sources", None]
     assert [(e.label, e.content) for e in got[0].e] == [("a", "x"), (None, None), ("c", None), (None, None)]
     assert [(e.label, e.content) for e in got[3].e] == [("a", "1"), ("b", "2")]
 
 
-def test_python_text():
-    assert python_text.redact_error_text("at 'C:\\a b' https://x/y on cdn.example.org:1, /etc/x") == "at '<path>' <url> on <host>, <path>"
+def test_python_text(spark):
+    assert python_text.redact_error_text("at 'C:\\a b' https://x/y on cdn.example.org:1, /etc/x") == "at 'C:\\a b' <url-redacted> on cdn.example.org:1, <path-redacted>"
     assert len(python_text.redact_error_text("x" * 200_000)) == 240
     assert python_text.graphemes("e\u0301a👨‍👩‍👧b", 2) == ("e\u0301a", 2, 4)
-    assert python_text.escape_evidence("a\n\x07‮") == "a\\n\\x07\\u202E"
+    assert one(spark, text.evidence(F.lit("a\n\x07‮"))) == "a\\n\\x07\\u202E"
     assert python_text.mappings("AAAA;AACA,C") == [[[0, 0, 0, 0]], [[0, 0, 1, 0], [1]]]
     with pytest.raises(ValueError):
         python_text.mappings("!")
