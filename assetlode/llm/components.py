@@ -26,17 +26,17 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def large_star(edges: DataFrame, total: int) -> DataFrame:
+def large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the least node that it knows."""
     near = _both(edges)
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-    return hot_join(near.where("b > a"), least, "a", 2 * total).select(F.col("m").alias("a"), "b").distinct()
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    return near.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
 
 
-def small_star(edges: DataFrame, total: int) -> DataFrame:
+def small_star(edges: DataFrame) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of them; edges have a < b."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-    moved = hot_join(edges, least, "b", total).where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    moved = edges.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
@@ -50,7 +50,7 @@ def components(ws: Workspace, edges: DataFrame, name: str = "components") -> Dat
     state, step = _state(now), 0
     while True:
         step += 1
-        then = ws.save(small_star(large_star(now, state[0]), state[0]), f"{name}-{step}")
+        then = ws.save(small_star(large_star(now)), f"{name}-{step}")
         ws.drop(f"{name}-{step - 1}")
         before, state, now = state, _state(then), then
         if state == before:

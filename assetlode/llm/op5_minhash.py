@@ -25,7 +25,9 @@ the nodes.
 
 A bucket, class, star or cluster of any size is dealt out: minima are taken before rows
 are shuffled, and what a key with more than HOT of all rows needs goes by broadcast
-(1 / HOT such keys at most) or in copies, so no task gets such a key's rows. The
+(1 / HOT such keys at most) or in copies, so no task gets such a key's rows. The star
+steps of step 6 don't split a node's links: there the least node of a large component
+meets all of its links in one task. The
 tables between the steps are in the shared folder and are removed as soon as they
 aren't needed.
 
