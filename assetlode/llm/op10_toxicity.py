@@ -346,7 +346,6 @@ def curve(shares: list[float], labels: np.ndarray) -> tuple[float, float]:
 
 def trained(examples: Examples, idf: np.ndarray) -> Index:
     """The index of all examples, with a curve that is fitted across two halves of them."""
-    index = Index(idf * relevance(examples, len(idf)), examples)
     half = np.arange(len(examples.ids)) % 2 == 0
     shares, labels = [], []
     for own in (half, ~half):
@@ -357,6 +356,8 @@ def trained(examples: Examples, idf: np.ndarray) -> Index:
         for i in range(0, len(queries), 256):
             shares += [judge.share(f) for f in judge.nearest(queries[i : i + 256])]
         labels.append(judged.label)
+        del judge, others, judged, queries
+    index = Index(idf * relevance(examples, len(idf)), examples)
     index.curve = curve(shares, np.concatenate(labels))
     return index
 
@@ -369,6 +370,7 @@ def fit(ws: Workspace, docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, I
     sizes = found.column("terms").combine_chunks().value_lengths().to_numpy()
     count = found.column("counts").combine_chunks().flatten().to_numpy()
     examples = Examples(found.column("doc_id").to_numpy(), found.column("toxic").to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat.indices.to_numpy(), count)
+    del found, flat
     vectors = ws.save(counted(docs, vocabulary), "vectors")
     total, df = document_frequencies(vectors, len(vocabulary))
     return vectors, trained(examples, np.log((1 + total) / (1 + df)) + 1), vocabulary
