@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlode.workspace import Workspace
@@ -22,37 +22,40 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFra
     return left.join(F.broadcast(hot), key).unionByName(rest)
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
 def large_star(edges: DataFrame) -> DataFrame:
-    """Each node links its larger neighbours to the least node that it knows."""
-    near = _both(edges)
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return near.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+    """Each node links its larger neighbours to the least node that it knows; edges have a < b, and so have the results.
 
+    A node without smaller neighbours keeps its links, so only the others need a look-up.
+    moved tells whether a row has changed.
+    """
+    least = edges.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("m"))
+    linked = edges.select("a", "b").join(least.hint("merge"), "a", "left")
+    return linked.select(F.coalesce("m", "a").alias("a"), "b", F.col("m").isNotNull().alias("moved"))
 
-def small_star(edges: DataFrame) -> DataFrame:
-    """Each node links itself and its smaller neighbours to the least of them; edges have a < b."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
 
+def small_star(edges: DataFrame) -> DataFrame:
+    """Each node links itself and its smaller neighbours to the least of them; edges have a < b and moved.
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    One row comes out for each distinct row of a node, so rows never grow from step to step;
+    equal rows of different nodes meet in the next step.
+    """
+    once = edges.repartition("b").groupBy("b", "a").agg(F.max("moved").alias("moved"))
+    known = once.withColumn("m", F.min("a").over(Window.partitionBy("b")))
+    stays = F.col("a") == F.col("m")
+    return known.select(F.col("m").alias("a"), F.when(stays, F.col("b")).otherwise(F.col("a")).alias("b"), (F.col("moved") | ~stays).alias("moved"))
 
 
 def components(ws: Workspace, edges: DataFrame, name: str = "components") -> DataFrame:
-    """node and component, its least node, for each node of an edge; edges are (a, b) in any order."""
+    """node and component, its least node, for each node of an edge; edges are (a, b) in any order.
+
+    A step that moves no row has found stars only: no centre has a smaller neighbour, and each
+    other node has one centre. A step shuffles three times, the first time one row a node and task.
+    """
     now = ws.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-0")
-    state, step = _state(now), 0
-    while True:
+    moved, step = True, 0
+    while moved:
         step += 1
-        then = ws.save(small_star(large_star(now)), f"{name}-{step}")
+        now = ws.save(small_star(large_star(now)), f"{name}-{step}")
         ws.drop(f"{name}-{step - 1}")
-        before, state, now = state, _state(then), then
-        if state == before:
-            break
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+        moved = now.agg(F.max("moved")).first()[0]
+    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()

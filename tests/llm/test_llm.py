@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assetlode.llm import op1_pii, op2_quotes, op3_partitions, op4_html, op5_minhash, op6_merges, op7_records, op8_packing, op9_quality, op10_toxicity
+from assetlode.llm.components import components as star_components
 from assetlode.workspace import Workspace
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -190,6 +191,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(got[i].kept == (want[i] == i) and got[i].n_shingles == len(sets[i]) for i in got)
 
 
+def test_stars_equal_union_find(spark):
+    rng = random.Random(3)
+    path = list(range(120))
+    rng.shuffle(path)
+    cases = [[], [(1, 1)], [(399, i) for i in range(200)], [(0, i) for i in range(1, 200)], [(rng.randrange(300), rng.randrange(300)) for _ in range(220)], [*zip(path, path[1:]), (200, 201), (201, 200), (200, 201)]]
+    for links in cases:
+        df = spark.createDataFrame([(a.to_bytes(2), b.to_bytes(2)) for a, b in links], "a binary, b binary")
+        got = [(int.from_bytes(r.node), int.from_bytes(r.component)) for r in star_components(Workspace(spark, "stars"), df).collect()]
+        want = components(400, links)
+        assert sorted(got) == sorted((x, want[x]) for x in {x for a, b in links if a != b for x in (a, b)})
+
+
 def sets_by_rule(text):
     """The shingles themselves, from the contract."""
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
