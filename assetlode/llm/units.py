@@ -33,7 +33,10 @@ class TwoAges(dict):
         found = self.old.get(key, self)
         if found is self:
             found = self.fill(key)
-        self.keep(key, found)
+        if len(self) < self.most:
+            self[key] = found
+        else:
+            self.keep(key, found)
         return found
 
     def keep(self, key: Any, value: Any) -> None:

@@ -304,6 +304,25 @@ def reference_ids(text, end):
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
+def test_new_words_of_letters_skip_the_split():
+    """Ids are the library's, and a new word of letters needs no run of the whole library."""
+    from tokenizers import Tokenizer
+
+    plain, encoder = Tokenizer.from_file(JSON), Encoder(JSON)
+    rng = random.Random(5)
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for letters in ("abcdefgh", "ABcdÀéßøœſſŒĐ", "σωΣαбвд", "日本語", "aé\u0301\u200b", "a1'.s") for _ in range(60)]
+    marks = ["", "", ".", "%%%", "...", "'s", "'ll", "\nNext", ".\nNext", "1", "***!", "\u00a0x", "’s", "&&& "]
+    for _ in range(40):
+        text = " ".join(rng.choice(words) + rng.choice(marks) for _ in range(50))
+        assert encoder.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert Encoder.shared(JSON, special_as_text=True).ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    runs, whole = [], encoder._encode
+    encoder._encode = lambda word: runs.append(word) or whole(word)
+    text = "start " + " ".join(f"quzz{a}{b}" for a in "abcdeÀé" for b in "fghijk")
+    assert encoder.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert not runs
+
+
 def test_strings_of_special_tokens():
     from tokenizers import Tokenizer
 
