@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetlode.workspace import Workspace
+from assetlode.workspace import Workspace, release
 
 #: A key with more than this share of all rows is hot; there are 1 / HOT such keys at most.
 HOT = 1 / 1000
@@ -49,7 +49,8 @@ def components(ws: Workspace, edges: DataFrame, name: str = "components") -> Dat
     """node and component, its least node, for each node of an edge; edges are (a, b) in any order.
 
     A step that moves no row has found stars only: no centre has a smaller neighbour, and each
-    other node has one centre. A step shuffles three times, the first time one row a node and task.
+    other node has one centre. A step shuffles three times, the first time one row a node and task;
+    whether a row moved is looked up without a shuffle.
     """
     now = ws.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-0")
     moved, step = True, 0
@@ -57,5 +58,6 @@ def components(ws: Workspace, edges: DataFrame, name: str = "components") -> Dat
         step += 1
         now = ws.save(small_star(large_star(now)), f"{name}-{step}")
         ws.drop(f"{name}-{step - 1}")
-        moved = now.agg(F.max("moved")).first()[0]
+        moved = bool(now.where("moved").take(1))
+        release(ws.spark)
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()

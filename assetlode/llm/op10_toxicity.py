@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from assetlode.llm.batches import columns, documents, map_batches, map_stream, texts_of
 from assetlode.llm.units import TwoAges
-from assetlode.workspace import Workspace
+from assetlode.workspace import Workspace, release
 
 #: Bound of the labelled rows that the classifier is fitted on.
 SAMPLE = 2_500
@@ -400,6 +400,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ws = Workspace(docs.sparkSession, "toxicity")
     shared = docs.sparkSession.sparkContext.broadcast(fit(ws, docs, labels)[1:])  # vectors and terms of SAMPLE texts
     ws.drop()
+    release(ws.spark)
     at, made = docs.columns.index("text"), []
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:

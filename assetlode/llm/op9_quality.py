@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from assetlode.llm.batches import column_bytes, documents, map_batches, map_stream
 from assetlode.llm.components import hot_join
-from assetlode.workspace import Workspace
+from assetlode.workspace import Workspace, release
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 FEATURES = ("word_length", "symbols", "duplicate_lines", "repeated_words", "capitals", "punctuation")
@@ -246,9 +246,9 @@ def _middle(rows: DataFrame) -> DataFrame:
     return counts.groupBy("g").applyInPandas(each, _PARAMS)
 
 
-def _with(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Rows of the levels with their group's parameters; the language and the whole table are hot keys."""
-    return hot_join(rows, params.select("g", F.col("n_group").alias("n"), "centre", "spread"), "g", params.agg(F.sum("n_group")).first()[0] or 0).select("g", *_XS, *_VS, "centre", "spread")
+def _with(rows: DataFrame, params: DataFrame, total: int) -> DataFrame:
+    """Rows of the levels, total of them, with their group's parameters; the language and the whole table are hot keys."""
+    return hot_join(rows, params.select("g", F.col("n_group").alias("n"), "centre", "spread"), "g", total).select("g", *_XS, *_VS, "centre", "spread")
 
 
 def _sums(rows: DataFrame, of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
@@ -294,7 +294,7 @@ def _square(upper: np.ndarray) -> np.ndarray:
     return np.triu(out) + np.triu(out, 1).T
 
 
-def _start(rows: DataFrame, middle: DataFrame) -> DataFrame:
+def _start(rows: DataFrame, middle: DataFrame, total: int) -> DataFrame:
     """The three starts of each group."""
 
     def of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -304,7 +304,7 @@ def _start(rows: DataFrame, middle: DataFrame) -> DataFrame:
         signs = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
         return np.repeat([1, 2], n), np.zeros(2 * n, np.int64), np.concatenate([_values(np.tanh(z), v), _values(signs, v)])
 
-    sums = _sums(_with(rows, middle), of)
+    sums = _sums(_with(rows, middle, total), of)
 
     def each(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         centre, both = np.array(found["centre"].iloc[0][:P]), np.array(found["spread"].iloc[0]).reshape(2, P, P)
@@ -319,7 +319,7 @@ def _start(rows: DataFrame, middle: DataFrame) -> DataFrame:
     return sums.join(middle.select("g", "n_group", "centre", "spread"), "g").groupBy("g").applyInPandas(each, _PARAMS)
 
 
-def _step(rows: DataFrame, params: DataFrame, starts: int, choose: bool = False, last: bool = False) -> DataFrame:
+def _step(rows: DataFrame, params: DataFrame, total: int, starts: int, choose: bool = False, last: bool = False) -> DataFrame:
     """The next estimate of each start: of the core by share, or at the end of all rows within NEAR; choose leaves the start with the least determinant."""
 
     def of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -328,7 +328,7 @@ def _step(rows: DataFrame, params: DataFrame, starts: int, choose: bool = False,
         bins = [_bins(distances(x, v, centre[:, s], spread[:, s])) for s in range(starts)]
         return np.repeat(np.arange(starts), n), np.concatenate(bins), np.tile(_values(x, v), (starts, 1))
 
-    sums = _sums(_with(rows, params), of)
+    sums = _sums(_with(rows, params, total), of)
 
     def each(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         out, n = [], 0
@@ -352,17 +352,20 @@ def _step(rows: DataFrame, params: DataFrame, starts: int, choose: bool = False,
 def estimates(ws: Workspace, rows: DataFrame) -> DataFrame:
     """Centre and own spread of each group, language and the whole."""
     levels = rows.select(F.explode(F.array("g2", "g1", F.lit("0"))).alias("g"), *_XS, *_VS)
-    params = ws.save(_start(levels, ws.save(_middle(levels), "middle")), "start")
+    total = 3 * rows.count()
+    params = ws.save(_start(levels, ws.save(_middle(levels), "middle"), total), "start")
     for step in range(TRIES):
-        params = ws.save(_step(levels, params, 3, choose=step == TRIES - 1), f"try{step}")
+        params = ws.save(_step(levels, params, total, 3, choose=step == TRIES - 1), f"try{step}")
+        release(ws.spark)
     for step in range(MOST_STEPS):
-        then = ws.save(_step(levels, params, 1), f"step{step}")
-        falls = params.select("g", F.col("determinant")[0].alias("before")).join(then.select("g", F.col("determinant")[0].alias("after")), "g")
-        fall = falls.agg(F.max(F.col("before") - F.col("after"))).first()[0]
+        then = ws.save(_step(levels, params, total, 1), f"step{step}")
+        release(ws.spark)
+        both = params.select("g", F.col("determinant")[0].alias("before"), F.lit(None).cast("double").alias("after")).union(then.select("g", F.lit(None).cast("double"), F.col("determinant")[0]))
+        falls = both.groupBy("g").agg((F.max("before") - F.max("after")).alias("fall"))
         params = then
-        if fall is None or fall <= SETTLED:
+        if not falls.where(F.col("fall") > SETTLED).take(1):
             break
-    return ws.save(_step(levels, params, 1, last=True), "last")
+    return ws.save(_step(levels, params, total, 1, last=True), "last")
 
 
 def _drawn(batch: pd.DataFrame) -> pd.DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,15 @@ def _at_exit() -> None:
             clean_up(spark)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees what steps of a loop left in the driver: their plans and heap, and by Spark's cleaner their broadcasts and shuffles.
+
+    Without it the driver's heap grows to its limit in a long job, since little of it is in use at a time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Workspace:
     """A folder of Parquet tables for one run of a job; each save cuts the lineage.
 

@@ -308,6 +308,8 @@ def test_new_words_of_letters_skip_the_split():
     """Ids are the library's, and a new word of letters needs no run of the whole library."""
     from tokenizers import Tokenizer
 
+    from assetlode.llm.encode import Encoder
+
     plain, encoder = Tokenizer.from_file(JSON), Encoder(JSON)
     rng = random.Random(5)
     words = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for letters in ("abcdefgh", "ABcdÀéßøœſſŒĐ", "σωΣαбвд", "日本語", "aé\u0301\u200b", "a1'.s") for _ in range(60)]
@@ -442,6 +444,26 @@ def test_quality_finds_outliers(spark, docs, none):
     assert abs(op9_quality.chi2_cdf(op9_quality.chi2_quantile(0.975, 6), 6) - 0.975) < 1e-9
 
 
+def test_steps_free_the_driver_and_shuffle_little(spark, monkeypatch):
+    """Each step of a loop frees what it left in the driver, and its end is found without a shuffle of all results."""
+    from assetlode.llm import components as c
+
+    steps = []
+    for module in (c, op9_quality):
+        monkeypatch.setattr(module, "release", lambda spark, held=module.release: steps.append(1) or held(spark))
+    number = spark.sparkContext._jsc.sc().newShuffleId
+    began = number()
+    assert star_components(Workspace(spark, "stars"), spark.createDataFrame([(1, 2), (2, 3), (7, 9), (3, 4)], "a long, b long")).count() == 6
+    assert steps and number() - began - 1 <= 3 + 3 * len(steps)  # the edges and the nodes are made distinct, and count() has one
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 9))) for _ in range(90)), "en", "s") for i in range(120)]
+    docs = op9_quality.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    ws, began = Workspace(spark, "quality"), number()
+    steps.clear()
+    assert op9_quality.estimates(ws, ws.save(docs, "measured").where("NOT base_failed")).count() == 3
+    assert len(steps) >= 3 and number() - began - 1 <= 5 + 5 * len(steps)
+
+
 def test_quality_equals_brute_force_estimates(spark):
     """Exact cores, random starts and no bins give the same verdicts on three groups."""
     o, rng, rows = op9_quality, random.Random(11), []
