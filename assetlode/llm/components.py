@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetlode.llm.batches import gathered
 from assetlode.workspace import Workspace, release
 
 #: A key with more than this share of all rows is hot; there are 1 / HOT such keys at most.
 HOT = 1 / 1000
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, total: int, gather: bool = False) -> DataFrame:
     """Inner join with right, which has one row a key and n, left's rows of that key; total are left's rows.
 
     The rows of right for hot keys, 1 / HOT at most, are broadcast, so their rows of left stay where they are.
+    gather is for results that Python reads next: rows of other keys are then gathered().
     """
     most = max(1, int(total * HOT))
     hot = right.where(F.col("n") > most)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col("n") <= most).hint("merge"), key)
-    return left.join(F.broadcast(hot), key).unionByName(rest)
+    return left.join(F.broadcast(hot), key).unionByName(gathered(rest, total) if gather else rest)
 
 
 def large_star(edges: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlode.llm.batches import column_bytes, documents, map_batches, map_stream
+from assetlode.llm.batches import column_bytes, documents, map_batches, map_groups, map_stream
 from assetlode.llm.components import hot_join
 from assetlode.workspace import Workspace, release
 
@@ -228,7 +228,7 @@ def _bins(d2: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(d2, 1e-30)) * PER_OCTAVE) + BINS // 2, 0, BINS).astype(np.int64)
 
 
-def _middle(rows: DataFrame) -> DataFrame:
+def _middle(rows: DataFrame, total: int) -> DataFrame:
     """Medians of each group as centres, and as its spread the squared quartile distances and the mean sampling variances."""
     values = F.explode(F.array(*(F.struct(F.lit(i).alias("j"), F.floor(F.col(x) * FINE).cast("long").alias("bin"), F.col(v).alias("v")) for i, (x, v) in enumerate(zip(_XS, _VS, strict=True))))).alias("v")
     counts = rows.select("g", values).groupBy("g", "v.j", "v.bin").agg(F.count("*").alias("n"), F.sum("v.v").alias("v"))
@@ -243,12 +243,12 @@ def _middle(rows: DataFrame) -> DataFrame:
             centre[j], scale[j], sampling[j] = q2, ((q3 - q1) / 1.349) ** 2, part["v"].sum() / n
         return _params(key[0], n, [(centre, np.diag(np.maximum(scale, sampling)), 0.0), (centre, np.diag(sampling), 0.0)])
 
-    return counts.groupBy("g").applyInPandas(each, _PARAMS)
+    return map_groups(counts, P * total, "g", each, _PARAMS)
 
 
 def _with(rows: DataFrame, params: DataFrame, total: int) -> DataFrame:
     """Rows of the levels, total of them, with their group's parameters; the language and the whole table are hot keys."""
-    return hot_join(rows, params.select("g", F.col("n_group").alias("n"), "centre", "spread"), "g", total).select("g", *_XS, *_VS, "centre", "spread")
+    return hot_join(rows, params.select("g", F.col("n_group").alias("n"), "centre", "spread"), "g", total, gather=True).select("g", *_XS, *_VS, "centre", "spread")
 
 
 def _sums(rows: DataFrame, of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
@@ -307,16 +307,17 @@ def _start(rows: DataFrame, middle: DataFrame, total: int) -> DataFrame:
     sums = _sums(_with(rows, middle, total), of)
 
     def each(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
-        centre, both = np.array(found["centre"].iloc[0][:P]), np.array(found["spread"].iloc[0]).reshape(2, P, P)
+        own = found[found["start"].isna()].iloc[0]
+        centre, both = np.array(own["centre"][:P]), np.array(own["spread"]).reshape(2, P, P)
         scale, sampling = np.sqrt(np.diag(both[0])), np.diag(both[1])
         out = [(centre, own_spread(both[0], sampling), 0.0)]
-        for _, row in found.sort_values("start").iterrows():
+        for _, row in found[found["start"].notna()].sort_values("start").iterrows():
             products = _square(row[_SUMS[1 + P : 1 + P + len(_UPPER[0])]].to_numpy(np.float64))
             size = np.sqrt(np.maximum(np.diag(products), 1e-12))
             out.append((centre, own_spread(products / np.outer(size, size) * np.outer(scale, scale), sampling), 0.0))
-        return _params(key[0], int(found["n_group"].iloc[0]), out)
+        return _params(key[0], int(own["n_group"]), out)
 
-    return sums.join(middle.select("g", "n_group", "centre", "spread"), "g").groupBy("g").applyInPandas(each, _PARAMS)
+    return map_groups(sums.unionByName(middle.drop("determinant"), allowMissingColumns=True), total, "g", each, _PARAMS)
 
 
 def _step(rows: DataFrame, params: DataFrame, total: int, starts: int, choose: bool = False, last: bool = False) -> DataFrame:
@@ -346,14 +347,14 @@ def _step(rows: DataFrame, params: DataFrame, total: int, starts: int, choose: b
             out.append((centre, spread, float(np.linalg.slogdet(spread + np.diag(sampling))[1])))
         return _params(key[0], n, [min(out, key=lambda e: e[2])] if choose else out)
 
-    return sums.groupBy("g").applyInPandas(each, _PARAMS)
+    return map_groups(sums, total, "g", each, _PARAMS)
 
 
 def estimates(ws: Workspace, rows: DataFrame) -> DataFrame:
     """Centre and own spread of each group, language and the whole."""
     levels = rows.select(F.explode(F.array("g2", "g1", F.lit("0"))).alias("g"), *_XS, *_VS)
     total = 3 * rows.count()
-    params = ws.save(_start(levels, ws.save(_middle(levels), "middle"), total), "start")
+    params = ws.save(_start(levels, ws.save(_middle(levels, total), "middle"), total), "start")
     for step in range(TRIES):
         params = ws.save(_step(levels, params, total, 3, choose=step == TRIES - 1), f"try{step}")
         release(ws.spark)
@@ -417,7 +418,7 @@ def judged(docs: DataFrame) -> DataFrame:
         d2 = _too_far(batch, _columns(batch, _XS), _columns(batch, _VS), failed)
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in counts), pa.array(~failed & ~(d2 > cut)), pa.array(d2, mask=failed)], [*counts, "kept", "distance2"])
 
-    far = hot_join(all_rows, groups, "g2", all_rows.count()).select(*counts, *_XS, *_VS, "centre", "spread")
+    far = hot_join(all_rows, groups, "g2", all_rows.count(), gather=True).select(*counts, *_XS, *_VS, "centre", "spread")
     return map_batches(far, each, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, distance2 double")
 
 
@@ -438,7 +439,7 @@ def passed(docs: DataFrame) -> DataFrame:
 
     keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns), _group().alias("judged_group"))
     of = groups.select(F.col("g2").alias("judged_group"), "n", F.col("centre").alias("judged_centre"), F.col("spread").alias("judged_spread"))
-    joined = hot_join(keyed, of, "judged_group", total).select(*(F.col(f"`{c}`") for c in docs.columns), "judged_centre", "judged_spread")
+    joined = hot_join(keyed, of, "judged_group", total, gather=True).select(*(F.col(f"`{c}`") for c in docs.columns), "judged_centre", "judged_spread")
     return map_batches(joined, each, docs.schema)
 
 

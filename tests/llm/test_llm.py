@@ -9,11 +9,12 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from assetlode.llm import op1_pii, op2_quotes, op3_partitions, op4_html, op5_minhash, op6_merges, op7_records, op8_packing, op9_quality, op10_toxicity
+from assetlode.llm import batches, op1_pii, op2_quotes, op3_partitions, op4_html, op5_minhash, op6_merges, op7_records, op8_packing, op9_quality, op10_toxicity
 from assetlode.llm.components import components as star_components
 from assetlode.workspace import Workspace
 
@@ -464,6 +465,37 @@ def test_steps_free_the_driver_and_shuffle_little(spark, monkeypatch):
     assert len(steps) >= 3 and number() - began - 1 <= 5 + 5 * len(steps)
 
 
+def test_quality_starts_few_python_tasks(spark):
+    """Python's tasks follow the rows and not the shuffle partitions, of which each empty one would cost direct memory."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 9))) for _ in range(90)), f"l{i % 3}", f"s{i % 7}") for i in range(210)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "90")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        ws = Workspace(spark, "quality")
+        rows = ws.save(op9_quality.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), "measured")
+        levels = rows.selectExpr("explode(array(g2, g1, '0')) g", *op9_quality._XS, *op9_quality._VS)
+        middle = ws.save(op9_quality._middle(levels, 630), "middle")
+        start = ws.save(op9_quality._start(levels, middle, 630), "start")
+        then = op9_quality._step(levels, start, 630, 3)
+        assert middle.count() == start.count() == then.count() == 21 + 3 + 1
+        assert then.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert op9_quality._with(levels, start, 630).rdd.getNumPartitions() < 90
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_groups_over_batches(spark):
+    """A group that spans batches meets in one call, and each group in one only."""
+    batches.small_batches(spark)
+    rows = spark.range(3000).selectExpr("concat('k', id % 5) k", "id v").unionByName(spark.range(700).selectExpr("'big' k", "id v"))
+    got = batches.map_groups(rows, 3700, "k", lambda key, found: pd.DataFrame({"k": [key[0]], "n": [len(found)], "v": [found["v"].sum()]}), "k string, n long, v long").collect()
+    assert sorted(map(tuple, got)) == sorted([("big", 700, 699 * 350)] + [(f"k{i}", 600, sum(range(i, 3000, 5))) for i in range(5)])
+    assert batches.map_groups(rows.limit(0), 0, "k", lambda key, found: found, "k string, v long").count() == 0
+
+
 def test_quality_equals_brute_force_estimates(spark):
     """Exact cores, random starts and no bins give the same verdicts on three groups."""
     o, rng, rows = op9_quality, random.Random(11), []
