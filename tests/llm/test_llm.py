@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from assetlode.llm import batches, op1_pii, op2_quotes, op3_partitions, op4_html, op5_minhash, op6_merges, op7_records, op8_packing, op9_quality, op10_toxicity
 from assetlode.llm.components import components as star_components
-from assetlode.workspace import Workspace
+from assetlode.workspace import Workspace, release
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 ODD = [None, "", " ", "word", "a  b\n\n c ", "x" * 20_000, "word " * 3000, "日本 é 😀 don't\t12", "same text here for all of us", "same text here for all of us", " <|endoftext|>", "\n", "a b"]
@@ -465,6 +465,16 @@ def test_steps_free_the_driver_and_shuffle_little(spark, monkeypatch):
     assert len(steps) >= 3 and number() - began - 1 <= 5 + 5 * len(steps)
 
 
+def test_release_gives_memory_back(spark):
+    """The driver's heap shrinks to about twice what is in use, where the JVM by itself keeps 3.3 times that."""
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    assert spark.range(500_000).selectExpr("cast(id as string) AS s").toPandas()["s"].iloc[-1] == "499999"
+    for _ in range(4):  # the first ones also start Spark's cleaner
+        release(spark)
+        heap, free = runtime.totalMemory(), runtime.freeMemory()
+    assert heap <= 2.4 * (heap - free) + 2**25
+
+
 def test_quality_starts_few_python_tasks(spark):
     """Python's tasks follow the rows and not the shuffle partitions, of which each empty one would cost direct memory."""
     rng = random.Random(3)
